@@ -22,6 +22,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    from lodestar.llm.byte_bpe import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.line_dedup import line_dedup
 
@@ -31,6 +45,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
 }
 
