@@ -22,6 +22,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.warc import captures
+
+    return captures(table(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +51,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
