@@ -57,18 +57,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     each round is staged, and the rounds grow with the logarithm of the longest path. Nothing is
     collected but the number of changed edges.
     """
+    print_of = [F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(hash(v, u))")]
     edges = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    before = tuple(edges.agg(*print_of).first())
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = staged(small, "edges")
-        moved = edges.exceptAll(after).limit(1).count() + after.exceptAll(edges).limit(1).count()
-        edges = after
-        if not moved:
+        edges = staged(small, "edges")
+        after = tuple(edges.agg(*print_of).first())
+        if after == before:
             break
+        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

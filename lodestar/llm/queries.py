@@ -48,6 +48,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
@@ -84,4 +91,14 @@ ORACLE: dict[str, str] = {
         marked as (select lines.*, wide.line is not null as gone from lines left join wide using (line)),
         per as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, string_agg(line, chr(10) order by pos) filter (where not gone) as kept from marked group by doc_id)
         select doc_id, coalesce(n_lines, 1) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join per using (doc_id)""",
+    "op10_near_dedup": r"""
+        with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        sets as (select distinct doc_id, hash(array_to_string(w[i:i + least(len(w), 3) - 1], ' ')) as s from words, unnest(range(1, len(w) - least(len(w), 3) + 2)) as t(i) where len(w) > 0),
+        sizes as (select doc_id, count(*) as n from sets group by doc_id),
+        common as (select a.doc_id as a, b.doc_id as b, count(*) as shared from sets as a join sets as b on a.s = b.s and a.doc_id < b.doc_id group by all),
+        linked as (select a, b from common join sizes as x on x.doc_id = a join sizes as y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
+        edges as (select a, b from linked union all select b, a from linked),
+        reach as (select doc_id, doc_id as node from documents union select reach.doc_id, edges.b from reach join edges on reach.node = edges.a),
+        found as (select doc_id, min(node) as component_id from reach group by doc_id)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from found left join sizes using (doc_id)""",
 }
