@@ -48,6 +48,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.lm_score import FOLDS, lm_scores
+    from lodestar.llm.quality import held_out
+
+    return lm_scores(table(spark, sf_dir, "documents"), held_out(FOLDS))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.near_dedup import near_dedup
 
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
+    "op9_lm_score": op9_lm_score,
     "op10_near_dedup": op10_near_dedup,
 }
 
