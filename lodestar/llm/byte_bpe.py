@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import ship
 
-MAX_STATES = 100_000
-MAX_PIECES = 250_000
+MAX_STATES = 200_000
+MAX_PIECES = 500_000
 MAX_PAIRS = 1_000_000
+FEW = 20
 #: Tokens decoded at a time.
 CHUNK = 1 << 16
 
@@ -68,6 +69,21 @@ class Transducer:
             self._token[node] = rank
         #: Whether merges happen in the order of their ranks, as in every trained vocabulary.
         self._ordered = all(max(ranks[a], ranks[b]) < ranks[t] for t, (a, b) in halves.items() if len(t) > 2)
+        #: The tokens under a node, where they are few: a thread none of whose tokens may follow the last one is dropped at once.
+        self._under: dict[int, list[int]] = {}
+        for token in halves:
+            node = 0
+            for b in token[:-1]:
+                node = self._child[node << 8 | b]
+                self._under.setdefault(node, []).append(ranks[token])
+        self._under = {node: tokens for node, tokens in self._under.items() if len(tokens) <= FEW}
+        #: Of two neighbouring tokens the one that they make together, by the first and the second.
+        self._joins: dict[int, dict[int, int]] = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    self._joins.setdefault(a, {})[b] = rank
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
         self._halves = halves
@@ -92,13 +108,13 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _spine(self, token: int, side: int, kept: dict[int, list]) -> list[tuple[bytes, int, int]]:
+    def _spine(self, token: int, side: int, kept: dict[int, list]) -> list[tuple[int, int, int]]:
         """The parts that stand at one end of a token while it is built: (part, rank at which it is made, rank at which it is joined)."""
         if token not in kept:
             part, joined, out = self.of[token], 1 << 60, []
             while True:
                 made = self.ranks[part] if len(part) > 1 else -1
-                out.append((part, made, joined))
+                out.append((self.ranks[part], made, joined))
                 if len(part) == 1:
                     break
                 joined, part = self.ranks[part], self._halves[part][side]
@@ -113,10 +129,13 @@ class Transducer:
             if len(self._pairs) >= MAX_PAIRS:
                 self._pairs.clear()
             if self._ordered:
-                known, ranks, starts = True, self.ranks, self._spine(token, 0, self._left)
-                for a, made, until in self._spine(last, 1, self._right):
+                known, starts = True, self._left.get(token) or self._spine(token, 0, self._left)
+                for a, made, until in self._right.get(last) or self._spine(last, 1, self._right):
+                    joins = self._joins.get(a)
+                    if not joins:
+                        continue
                     for b, made_b, until_b in starts:
-                        rank = ranks.get(a + b)
+                        rank = joins.get(b)
                         # On a tie the leftmost is joined first: the joint before the one inside token, after the one inside last.
                         if rank is not None and max(rank, made, made_b) < until and max(rank, made, made_b) <= until_b:
                             known = False
@@ -129,14 +148,14 @@ class Transducer:
         return known
 
     def _advance(self, state: int, byte: int) -> tuple[int, bytes]:
-        threads, child, tokens, inner = [], self._child, self._token, self._inner
+        threads, child, tokens, inner, under = [], self._child, self._token, self._inner, self._under
         for last, node, out in self._states[state]:
             node = child.get(node << 8 | byte, 0)
             if node:
                 token = tokens[node]
                 if token >= 0 and (last < 0 or self._may_follow(last, token)):
                     threads.append((token, 0, (*out, token)))
-                if inner[node]:
+                if inner[node] and (last < 0 or node not in under or any(self._may_follow(last, t) for t in under[node])):
                     threads.append((last, node, out))
         written = b""
         first = threads[0][2]
