@@ -1,9 +1,14 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-The model is a trie of byte contexts of up to ORDER bytes inside a token, counted over all training texts.
-A byte's probability starts at the longest context; where a context has not seen it, the escape of
-method D leads to the next shorter one, and all symbols seen in longer contexts are excluded from it.
-Contexts nest, so the excluded set of a context is what its one-byte-longer context has seen.
+The longest context of a token is the whole token: known tokens are coded by their training counts, and
+an escape (method D) leads to a trie of byte contexts of up to ORDER bytes. As update exclusion asks, the
+trie counts each distinct training token once, that is when it was new. A byte's probability starts at
+the longest context; where a context has not seen it, its escape leads to the next shorter one, and all
+symbols seen in longer contexts are excluded from it. Contexts nest, so the excluded set of a context is
+what its one-byte-longer context has seen. The known tokens, too, are excluded from the trie: their
+whole probability Z there is given to the others. The code length is adaptive as well: for every share
+in SHARES a coder mixes this model with the counts of the text's own tokens so far, and a text's
+probability is the mean of the coders' probabilities.
 
 No table that grows with the corpus is broadcast or collected. Texts are dealt into buckets; each bucket
 asks for its distinct words from the task that owns them, which has the sum of their counts. Owners ask
@@ -35,6 +40,8 @@ BUCKET_BYTES = 24 << 20
 #: The end of a text as a token: no word has this byte.
 END = b"\n"
 FOLDS = 10
+#: Most that a text's own counts weigh, coder by coder; the weight grows from 0 with half of it at WARM tokens.
+SHARES, WARM = (0.0, 0.02, 0.1, 0.3, 0.6, 0.9), 20
 
 
 def tokens(data: bytes) -> list[bytes]:
@@ -232,7 +239,8 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
             for owner, words, counts in zip(b.column("owner").to_pylist(), b.column("words"), b.column("counts"), strict=True):
                 listed = _words(words.as_py())
                 keys, start = grams(listed)
-                each = np.repeat(np.frombuffer(counts.as_py(), np.int64), np.diff(np.append(start, len(keys))))
+                new = (np.frombuffer(counts.as_py(), np.int64) > 0).astype(np.int64)
+                each = np.repeat(new, np.diff(np.append(start, len(keys))))
                 keys, n = _summed(keys, each)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), owner, np.int32)), pa.array(keys), pa.array(n.astype(np.int64))], schema=gram_schema)
 
@@ -255,41 +263,48 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
     trie = dealt.repartition("branch").sortWithinPartitions("branch").mapInArrow(branch, "gram long, logp double")
     told = wanted.select("owner", "gram").join(trie, "gram")
 
+    valued_schema = pa.schema([("owner", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("logps", pa.binary()), ("known", pa.float64())])
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per owner: log-probabilities of grams (kind 0), then its words (kind 1), which get the sum of theirs."""
+        for owner, slices in _groups(batches, "owner"):
+            got: list = []
+            for b in slices:
+                cut = int(np.searchsorted(b.column("kind").to_numpy(), 1))
+                if cut:
+                    got.append((b.column("gram").to_numpy(zero_copy_only=False)[:cut], b.column("logp").to_numpy(zero_copy_only=False)[:cut]))
+                for words, counts in zip(b.column("words").slice(cut), b.column("counts").slice(cut), strict=True):
+                    keys = np.concatenate([x for x, _ in got]).astype(np.int64)
+                    order = np.argsort(keys)
+                    keys, values = keys[order], np.concatenate([x for _, x in got])[order]
+                    want, start = grams(_words(words.as_py()))
+                    logp = np.add.reduceat(values[np.searchsorted(keys, want)], start)
+                    known = np.frombuffer(counts.as_py(), np.int64) > 0
+                    yield _batch([(owner, words.as_py(), counts.as_py(), logp.tobytes(), float((10.0 ** logp[known]).sum()))], valued_schema)
+
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    grams_then_words = told.select("owner", F.lit(0).alias("kind"), none("words", "binary"), none("counts", "binary"), "gram", "logp").unionByName(owned.select("owner", F.lit(1).alias("kind"), "words", "counts", none("gram", "long"), none("logp", "double")))
+    valued = staged(grams_then_words.repartition("owner").sortWithinPartitions("owner", "kind").mapInArrow(value, "owner int, words binary, counts binary, logps binary, known double"), "valued")
+    known_share = min(valued.agg(F.sum("known")).first()[0] or 0.0, 1 - 1e-9)
+
     reply_schema = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("logps", pa.binary())])
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per owner: log-probabilities of grams (kind 0), then its words (kind 1), then the buckets' questions (kind 2)."""
+        """Per owner: its words with their values (kind 1), then the buckets' questions (kind 2)."""
         for _, slices in _groups(batches, "owner"):
-            got: list = []
             index: dict[bytes, int] = {}
             for b in slices:
-                kinds = b.column("kind").to_numpy()
-                g = b.slice(0, int(np.searchsorted(kinds, 1)))
-                if g.num_rows:
-                    got.append((g.column("gram").to_numpy(), g.column("logp").to_numpy()))
-                rest = b.slice(g.num_rows)
-                for k, bucket, words, counts in zip(kinds[g.num_rows :].tolist(), rest.column("bucket").to_pylist(), rest.column("words"), rest.column("counts"), strict=True):
+                for kind_, bucket, words, counts, logps in zip(b.column("kind").to_pylist(), b.column("bucket").to_pylist(), b.column("words"), b.column("counts"), b.column("logps"), strict=True):
                     listed = _words(words.as_py())
-                    if k == 1:
-                        keys = np.concatenate([x for x, _ in got])
-                        order = np.argsort(keys)
-                        keys, values = keys[order], np.concatenate([x for _, x in got])[order]
-                        want, start = grams(listed)
-                        logp = np.add.reduceat(values[np.searchsorted(keys, want)], start)
-                        count = np.frombuffer(counts.as_py(), np.int64)
+                    if kind_ == 1:
+                        count, logp = np.frombuffer(counts.as_py(), np.int64), np.frombuffer(logps.as_py(), np.float64)
                         index = {w: i for i, w in enumerate(listed)}
-                        got = []
                     else:
                         at = np.fromiter(map(index.__getitem__, listed), np.int64, len(listed))
                         yield _batch([(bucket, words.as_py(), count[at].tobytes(), logp[at].tobytes())], reply_schema)
 
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    three = (
-        told.select("owner", F.lit(0).alias("kind"), none("bucket", "int"), none("words", "binary"), none("counts", "binary"), "gram", "logp")
-        .unionByName(owned.select("owner", F.lit(1).alias("kind"), none("bucket", "int"), "words", "counts", none("gram", "long"), none("logp", "double")))
-        .unionByName(asked.select("owner", F.lit(2).alias("kind"), "bucket", "words", none("counts", "binary"), none("gram", "long"), none("logp", "double")))
-    )
-    replies = three.repartition("owner").sortWithinPartitions("owner", "kind").mapInArrow(reply, "bucket int, words binary, counts binary, logps binary")
+    words_then_asked = valued.select("owner", F.lit(1).alias("kind"), none("bucket", "int"), "words", "counts", "logps").unionByName(asked.select("owner", F.lit(2).alias("kind"), "bucket", "words", none("counts", "binary"), none("logps", "binary")))
+    replies = words_then_asked.repartition("owner").sortWithinPartitions("owner", "kind").mapInArrow(reply, "bucket int, words binary, counts binary, logps binary")
 
     out_names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -303,8 +318,7 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
             logps: list = []
             ready = False
             for b in slices:
-                kinds = b.column("kind").to_numpy()
-                cut = int(np.searchsorted(kinds, 1))
+                cut = int(np.searchsorted(b.column("kind").to_numpy(), 1))
                 for words, c, p in zip(*(b.slice(0, cut).column(x) for x in ("words", "counts", "logps")), strict=True):
                     for w in _words(words.as_py()):
                         index[w] = len(index)
@@ -316,11 +330,12 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
                 if not ready:
                     count, logp, ready = np.concatenate(counts), np.concatenate(logps), True
                     known, base = count > 0, np.log10(count + 0.1) - floor
+                    p = token_probabilities(count, logp, n_train, n_distinct, known_share)
                 sums = []
                 for data in texts.column("data"):
                     words = tokens(unpress.decompress(data.as_py()))
                     at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                    sums.append((len(words), int(known[at].sum()), n_train, float(base[at].sum()), float(logp[at].sum())))
+                    sums.append((len(words), int(known[at].sum()), n_train, float(base[at].sum()), code_length(at, p[at])))
                 cols = list(zip(*sums, strict=True))
                 yield pa.RecordBatch.from_arrays([texts.column("doc_id"), texts.column("held_out"), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.float64()) for c in cols[3:])], out_names)
 
@@ -330,5 +345,42 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
     return two.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def token_probabilities(count: np.ndarray, logp: np.ndarray, n_train: int, n_distinct: int, known_share: float) -> np.ndarray:
+    """Of each token: by its count if it is known, else the escape and the trie's probability among the unknown."""
+    if not n_train:
+        return np.maximum(10.0**logp, 1e-300)
+    return np.where(count > 0, (2.0 * count - 1) / (2.0 * n_train), n_distinct / (2.0 * n_train) * np.maximum(10.0**logp, 1e-300) / (1 - known_share))
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """How often each value stood before its place."""
+    n = len(keys)
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    out = np.empty(n, np.int64)
+    out[order] = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    return out
+
+
+def code_length(at: np.ndarray, p: np.ndarray) -> float:
+    """log10 probability of a text's tokens `at` (numbers), of pretrained probability p, with what the text itself has taught so far.
+
+    The text's own model is the mean of its counts and of its counts after the last token, where that has occurred before.
+    """
+    n = len(at)
+    place = np.arange(n)
+    own = _before(at) / np.maximum(place, 1)
+    after = own.copy()
+    if n > 1:
+        times = _before(at[:-1])
+        pair = _before(at[:-1] * (int(at.max()) + 1) + at[1:])
+        after[1:] = np.where(times > 0, pair / np.maximum(times, 1), own[1:])
+    own = (own + after) / 2
+    grown = place / (place + WARM)
+    each = np.array([np.log10((1 - s * grown) * p + s * grown * own).sum() for s in SHARES])
+    return float(each.max() + np.log10(np.mean(10.0 ** (each - each.max()))))
+
+
 def _words(joined: bytes) -> list[bytes]:
     return joined.split(b" ")
