@@ -195,7 +195,8 @@ def near_components(docs: DataFrame, size: int, percent: int, block_nodes: int =
     blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
     members = staged(sized.join(blocks, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
 
-    texts = docs.join(members, docs["doc_id"] == members["node"]).select("root", "block", "blocks", "node", "text")
+    # Always a merge join: a broadcast of small member tables would not stand for what happens at scale.
+    texts = docs.join(members.hint("merge"), docs["doc_id"] == members["node"]).select("root", "block", "blocks", "node", "text")
     large = members.where("blocks > 1").limit(1).count() > 0
     # The hub of a large component, its root, stands in every block.
     dealt = texts if not large else texts.withColumn("block", F.explode(F.when((F.col("blocks") > 1) & (F.col("node") == F.col("root")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
@@ -262,4 +263,4 @@ def near_dedup(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each component, the smallest doc_id; all columns as they came."""
     gone = near_components(docs, size, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__gone"], "left_anti")
