@@ -92,10 +92,30 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_s
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
-    """`docs` without those that hold a window of the benchmark; all columns as they came."""
-    bad = find_hits(docs, items, window, max_set).where("pos is not null").select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["__text"] == bad["text_hash"]), "left_anti").drop("__text")
+    """`docs` without those that hold a window of the benchmark; all columns as they came.
+
+    Up to max_set windows, hashes and then whole windows are compared in the row itself, so no text is moved.
+    """
+    windows = benchmark_windows(items, window).select("window", "len").distinct().limit(max_set + 1).collect()
+    if len(windows) > max_set:
+        bad = find_hits(docs, items, window, max_set).where("pos is not null").select("doc_id", "text_hash").distinct().hint("merge")
+        keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+        return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["__text"] == bad["text_hash"]), "left_anti").drop("__text")
+    if not windows:
+        return docs
+    hashes = {r["window"]: r["h"] for r in benchmark_windows(items, window).select("window", _hash(F.split("window", " ")).alias("h")).distinct().collect()}
+
+    def hit(size: int) -> Column:
+        own = [r["window"] for r in windows if r["len"] == size]
+        known = sorted({hashes[w] for w in own})
+        starts = F.when(F.size("__w") >= size, F.sequence(F.lit(1), F.size("__w") - size + 1)).otherwise(F.array().cast("array<int>"))
+        near = F.filter(starts, lambda i: _hash(F.slice("__w", i, size)).isin(known))
+        return F.exists(near, lambda i: F.array_join(F.slice("__w", i, size), " ").isin(own))
+
+    any_hit = F.lit(False)
+    for size in sorted({r["len"] for r in windows}):
+        any_hit = any_hit | hit(size)
+    return docs.withColumn("__w", word_list(F.col("text"))).where(~any_hit).drop("__w")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:

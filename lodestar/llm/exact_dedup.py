@@ -117,5 +117,5 @@ def drop_exact_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     hot = F.col("__size") * 1000 > F.lit(total)
     keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     lost = lambda g: (F.col("__sha") == g["__digest"]) & ~keyed["doc_id"].eqNullSafe(g["__keep"])
-    few, rest = F.broadcast(many.where(hot)), many.where(~hot)
+    few, rest = F.broadcast(many.where(hot)), many.where(~hot).hint("merge")
     return keyed.join(few, lost(few), "left_anti").join(rest, lost(rest), "left_anti").drop("__sha")

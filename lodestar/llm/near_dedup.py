@@ -45,6 +45,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _ODD = _mix(np.arange(1, 65, dtype=_U)) | _U(1)
+_SEEDS = _mix(np.arange(1 << 20, (1 << 20) + 2 * BINS, dtype=_U))
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -65,7 +66,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     base = np.repeat(np.arange(len(sets)) * BINS, [len(s) for s in sets])
     done = np.zeros(len(out), bool)
     for i in range(2 * BINS):
-        v = _mix(x ^ _ODD[i % 64] * _U(i + 1))
+        v = _mix(x ^ _SEEDS[i])
         slot = base + (v & _U(BINS - 1)).astype(np.int64) if i < BINS else base + (i - BINS)
         free = ~done[slot]
         np.minimum.at(out, slot[free], v[free])
