@@ -105,17 +105,21 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, m
         return docs
     hashes = {r["window"]: r["h"] for r in benchmark_windows(items, window).select("window", _hash(F.split("window", " ")).alias("h")).distinct().collect()}
 
-    def hit(size: int) -> Column:
+    def hit(words: Column, size: int) -> Column:
         own = [r["window"] for r in windows if r["len"] == size]
         known = sorted({hashes[w] for w in own})
-        starts = F.when(F.size("__w") >= size, F.sequence(F.lit(1), F.size("__w") - size + 1)).otherwise(F.array().cast("array<int>"))
-        near = F.filter(starts, lambda i: _hash(F.slice("__w", i, size)).isin(known))
-        return F.exists(near, lambda i: F.array_join(F.slice("__w", i, size), " ").isin(own))
-
-    any_hit = F.lit(False)
-    for size in sorted({r["len"] for r in windows}):
-        any_hit = any_hit | hit(size)
-    return docs.withColumn("__w", word_list(F.col("text"))).where(~any_hit).drop("__w")
+        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+        near = F.filter(starts, lambda i: _hash(F.slice(words, i, size)).isin(known))
+        return F.exists(near, lambda i: F.array_join(F.slice(words, i, size), " ").isin(own))
+
+    def any_hit(words: Column) -> Column:
+        out = F.lit(False)
+        for size in sorted({r["len"] for r in windows}):
+            out = out | hit(words, size)
+        return out
+
+    # The words are bound to a lambda's variable; as a column they would be computed anew for every position, once the filter is pushed down.
+    return docs.where(~F.exists(F.array(word_list(F.col("text"))), any_hit))
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
