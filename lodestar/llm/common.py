@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.session import shared_folder, ship, shuffle_width
 
-__all__ = ["attach", "components", "lower_ascii", "staged", "table", "rows_of", "ship", "shuffle_width", "new_path"]
+__all__ = ["attach", "components", "lower_ascii", "staged", "table", "settle", "settled", "ship", "shuffle_width", "new_path"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows; so there are fewer than HOT_SHARE hot keys, whatever the data.
@@ -74,7 +77,38 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches, one after another; binary columns come as bytes."""
-    for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+def settle() -> None:
+    """Give memory that a Python worker has freed back to the machine: workers outlive their tasks, and executors' memory is shared."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def settled(run: Callable) -> Callable:
+    """The same generator or function over Arrow data, followed by settle()."""
+    if inspect.isgeneratorfunction(run):
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from run(batches)
+            settle()
+
+        return over
+    if len(inspect.signature(run).parameters) == 1:
+
+        def one(table: pa.Table) -> pa.Table:
+            try:
+                return run(table)
+            finally:
+                settle()
+
+        return one
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            settle()
+
+    return two

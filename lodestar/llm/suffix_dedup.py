@@ -31,15 +31,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ship, shuffle_width
+from lodestar.llm.common import settled, ship, shuffle_width
 from lodestar.llm.lm_score import _batch, _groups
 
 LENGTH, GRAM = 100, 24
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes whose anchors are found at a time; places in it fit in 20 bits.
 CHUNK = 1 << 19
 #: Bytes of distinct segments that are sorted together, but for a single group of up to HOT segments.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 HOT = 50_000
 _U = np.uint64
 _RANDOM = np.random.default_rng(7).integers(1, 1 << 63, 264, dtype=np.uint64) * _U(2) + _U(1)
@@ -87,22 +87,22 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def two_stage_order(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """The wanted positions (a mask) in the order of their suffixes, as far as `depth` bytes tell; data ends with depth zeros more."""
     n = len(wanted)
-    text = data[:n].astype(np.int16)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:] - text[:-1])
-    # Equal neighbours are of the type of the next different pair.
-    turn = np.where(step != 0, np.arange(n), n - 1)
+    # The end is a suffix too, smaller than all others, and the first to be sorted.
+    text = np.append(data[:n].astype(np.int16), np.int16(-1))
+    step = np.sign(text[1:] - text[:-1]).astype(np.int8)
+    # Equal neighbours are of the type of the next different pair; the last byte is larger than the end.
+    turn = np.where(step != 0, np.arange(n), n)
     turn = np.minimum.accumulate(turn[::-1])[::-1]
-    rising = step[turn] > 0
-    rising[-1] = True
+    rising = np.append(step[turn] > 0, True)
     # Wherever an induced suffix is wanted, all up to the next directly sorted one are needed.
-    next_rising = np.where(rising, np.arange(n), n - 1)
+    next_rising = np.where(rising, np.arange(n + 1), n)
     next_rising = np.minimum.accumulate(next_rising[::-1])[::-1]
-    mark = np.zeros(n + 1, np.int32)
+    mark = np.zeros(n + 2, np.int32)
     starts = np.flatnonzero(wanted)
     np.add.at(mark, starts, 1)
     np.add.at(mark, next_rising[starts] + 1, -1)
-    need = np.cumsum(mark[:-1]) > 0
+    need = np.cumsum(mark[:n]) > 0
+    rising = rising[:n]
 
     direct = np.flatnonzero(need & rising)
     rows = np.lib.stride_tricks.sliding_window_view(data, depth)[direct]
@@ -112,6 +112,8 @@ def two_stage_order(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndar
     cut = np.searchsorted(lead, np.arange(257))
     falling = need & ~rising
     coming: list[list[np.ndarray]] = [[] for _ in range(256)]
+    if n and falling[n - 1]:
+        coming[data[n - 1]].append(np.array([n - 1]))
     out = []
     for byte in range(256):
         placed = coming[byte]
@@ -205,11 +207,14 @@ def _chunks(texts: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[np.ndarra
         yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(h) for h in held]), about
 
 
-def _texts(slices, unpress) -> Iterator[tuple[int, int, bytes]]:  # noqa: ANN001
-    for b in slices:
-        for doc, tie, data in zip(b.column("doc").to_pylist(), b.column("tie").to_pylist(), b.column("data"), strict=True):
-            if data.is_valid:
-                yield doc, tie, unpress.decompress(data.as_py())
+def _texts(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+    unpress = zstandard.ZstdDecompressor()
+    for doc, tie, data in zip(table.column("doc").to_pylist(), table.column("tie").to_pylist(), table.column("data"), strict=True):
+        yield doc, tie, unpress.decompress(data.as_py())
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows, schema)]) if rows else schema.empty_table()
 
 
 def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -227,24 +232,19 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int =
             raw = [t.as_py().encode() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([zlib.crc32(t) for t in raw], pa.int64()), pa.array([press.compress(t) for t in raw], pa.binary())], ["doc", "tie", "data"])
 
-    packed = rows.mapInArrow(pack, "doc long, tie long, data binary").select(F.pmod(F.xxhash64("doc", "tie"), F.lit(buckets)).cast("int").alias("bucket"), "doc", "tie", "data")
+    packed = rows.mapInArrow(settled(pack), "doc long, tie long, data binary").select(F.pmod(F.xxhash64("doc", "tie"), F.lit(buckets)).cast("int").alias("bucket"), "doc", "tie", "data")
 
     ask_schema = pa.schema([("owner", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.binary()), ("counts", pa.binary())])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each bucket's distinct anchors and how often they occur (255: so often or more), by owner."""
-        unpress = zstandard.ZstdDecompressor()
-        for bucket, slices in _groups(batches, "bucket"):
-            found = [segments(data, ends)[0] for data, ends, _ in _chunks(_texts(slices, unpress))]
-            if not found:
-                continue
-            anchors, n = np.unique(np.concatenate(found), return_counts=True)
-            of = (anchors >> _U(32)).astype(np.int64) * owners >> 32
-            cut = np.searchsorted(of, np.arange(owners + 1))
-            n = np.minimum(n, 255).astype(np.uint8)
-            for o in range(owners):
-                if cut[o] < cut[o + 1]:
-                    yield _batch([(o, bucket, anchors[cut[o] : cut[o + 1]].tobytes(), n[cut[o] : cut[o + 1]].tobytes())], ask_schema)
+    def ask(texts: pa.Table) -> pa.Table:
+        """A bucket's distinct anchors and how often they occur (255: so often or more), by owner."""
+        found = [segments(data, ends)[0] for data, ends, _ in _chunks(_texts(texts))]
+        anchors, n = np.unique(np.concatenate([*found, np.empty(0, _U)]), return_counts=True)
+        of = (anchors >> _U(32)).astype(np.int64) * owners >> 32
+        cut = np.searchsorted(of, np.arange(owners + 1))
+        n = np.minimum(n, 255).astype(np.uint8)
+        bucket = texts.column("bucket")[0].as_py()
+        return _rows([(o, bucket, anchors[cut[o] : cut[o + 1]].tobytes(), n[cut[o] : cut[o + 1]].tobytes()) for o in range(owners) if cut[o] < cut[o + 1]], ask_schema)
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The anchors that occur more than once, with 1 or, if they are hot, 2."""
@@ -262,68 +262,52 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int =
                 if f.any():
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([a[f > 0].tobytes()], pa.binary()), pa.array([f[f > 0].tobytes()], pa.binary())], ["bucket", "anchors", "flags"])
 
-    asked = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(ask, "owner int, bucket int, anchors binary, counts binary")
-    replies = asked.repartition("owner").sortWithinPartitions("owner").mapInArrow(reply, "bucket int, anchors binary, flags binary")
+    # Every step that needs the texts groups them alike, so that they are dealt out once and the exchange is used again.
+    asked = packed.groupBy("bucket").applyInArrow(settled(ask), "owner int, bucket int, anchors binary, counts binary")
+    replies = asked.repartition("owner").sortWithinPartitions("owner").mapInArrow(settled(reply), "bucket int, anchors binary, flags binary")
 
     cut_schema = pa.schema([("key", pa.int64()), ("bucket", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("piece", pa.binary())])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(texts: pa.Table, told: pa.Table) -> pa.Table:
         """A bucket's distinct segments with repeated anchors, each at its first place; its later places are marks, without a piece."""
-        unpress = zstandard.ZstdDecompressor()
-        for bucket, slices in _groups(batches, "bucket"):
-            got: list = []
-            first: dict[tuple[int, bytes], tuple] = {}
-            marks: list[tuple] = []
-
-            def put(key: int, piece: bytes, place: tuple, n: int) -> None:
-                known = first.get((key, piece))  # noqa: B023
-                if known is None:
-                    first[key, piece] = (place, n)  # noqa: B023
-                elif known[0] != place:
-                    later = max(known[0], place)
-                    first[key, piece] = (min(known[0], place), n)  # noqa: B023
-                    marks.append((0, bucket, *later, n, None))  # noqa: B023
-
-            def texts() -> Iterator[tuple[int, int, bytes]]:
-                for b in slices:  # noqa: B023
-                    split = int(np.searchsorted(b.column("kind").to_numpy(), 1))
-                    got.extend((np.frombuffer(a.as_py(), _U), np.frombuffer(f.as_py(), np.uint8)) for a, f in zip(b.column("anchors").slice(0, split), b.column("flags").slice(0, split), strict=True))  # noqa: B023
-                    yield from _texts([b.slice(split)], unpress)
-
-            anchors = flags = None
-            for data, ends, about in _chunks(texts()):
-                if anchors is None:
-                    if not got:
-                        break
-                    anchors = np.concatenate([a for a, _ in got])
-                    order = np.argsort(anchors)
-                    anchors, flags = anchors[order], np.concatenate([f for _, f in got])[order]
-                a, lo, hi = segments(data, ends)
-                at = np.minimum(np.searchsorted(anchors, a), len(anchors) - 1)
-                flag = np.where(anchors[at] == a, flags[at], 0)
-                raw = data.tobytes()
-                pick = np.flatnonzero(flag)
-                part = np.searchsorted(ends, lo[pick], "right")
-                begins = np.concatenate([[0], ends[:-1]])
-                for key, x, y, p, f in zip(a[pick].view(np.int64).tolist(), lo[pick].tolist(), hi[pick].tolist(), part.tolist(), flag[pick].tolist(), strict=True):
-                    doc, tie, off = about[p]
-                    off += x - int(begins[p])
-                    if f == 1:
-                        put(key, raw[x : y + LENGTH], (doc, tie, off), y - x + 1)
-                    else:
-                        for i in range(y - x + 1):
-                            piece = raw[x + i : x + i + LENGTH]
-                            put(xxhash.xxh3_64_intdigest(piece, key & 0xFFFF) - (1 << 63), piece, (doc, tie, off + i), 1)
-                if len(marks) > 50_000:
-                    yield _batch(marks, cut_schema)
-                    marks.clear()
-            rows = marks + [(key, bucket, *place, n, piece) for (key, piece), (place, n) in first.items()]
-            for i in range(0, len(rows), 50_000):
-                yield _batch(rows[i : i + 50_000], cut_schema)
-
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    both = replies.select("bucket", F.lit(0).alias("kind"), none("doc", "long"), none("tie", "long"), none("data", "binary"), "anchors", "flags").unionByName(packed.select("bucket", F.lit(1).alias("kind"), "doc", "tie", "data", none("anchors", "binary"), none("flags", "binary")))
-    cuts = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(cut, "key long, bucket int, doc long, tie long, start long, n int, piece binary")
+        if not told.num_rows:
+            return cut_schema.empty_table()
+        bucket = texts.column("bucket")[0].as_py()
+        anchors = np.concatenate([np.frombuffer(a.as_py(), _U) for a in told.column("anchors")])
+        order = np.argsort(anchors)
+        anchors, flags = anchors[order], np.concatenate([np.frombuffer(f.as_py(), np.uint8) for f in told.column("flags")])[order]
+        first: dict[tuple[int, bytes], tuple] = {}
+        marks: list[tuple] = []
+
+        def put(key: int, piece: bytes, place: tuple, n: int) -> None:
+            known = first.get((key, piece))
+            if known is None:
+                first[key, piece] = (place, n)
+            elif known[0] != place:
+                later = max(known[0], place)
+                first[key, piece] = (min(known[0], place), n)
+                marks.append((0, bucket, *later, n, None))
+
+        for data, ends, about in _chunks(_texts(texts)):
+            a, lo, hi = segments(data, ends)
+            at = np.minimum(np.searchsorted(anchors, a), len(anchors) - 1)
+            flag = np.where(anchors[at] == a, flags[at], 0)
+            raw = data.tobytes()
+            pick = np.flatnonzero(flag)
+            part = np.searchsorted(ends, lo[pick], "right")
+            begins = np.concatenate([[0], ends[:-1]])
+            for key, x, y, p, f in zip(a[pick].view(np.int64).tolist(), lo[pick].tolist(), hi[pick].tolist(), part.tolist(), flag[pick].tolist(), strict=True):
+                doc, tie, off = about[p]
+                off += x - int(begins[p])
+                if f == 1:
+                    put(key, raw[x : y + LENGTH], (doc, tie, off), y - x + 1)
+                else:
+                    for i in range(y - x + 1):
+                        piece = raw[x + i : x + i + LENGTH]
+                        put(xxhash.xxh3_64_intdigest(piece, key & 0xFFFF) - (1 << 63), piece, (doc, tie, off + i), 1)
+        return _rows(marks + [(key, bucket, *place, n, piece) for (key, piece), (place, n) in first.items()], cut_schema)
+
+    cuts = packed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(settled(cut), "key long, bucket int, doc long, tie long, start long, n int, piece binary")
     # Marks pass the sorting tasks by, dealt evenly; pieces meet by key.
     dealt = cuts.withColumn("key", F.when(F.col("piece").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("key")))
 
@@ -378,47 +362,33 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int =
         if marks:
             yield _batch(marks, mark_schema)
 
-    marks = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "bucket int, doc long, tie long, start long, n int")
+    marks = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(settled(sort), "bucket int, doc long, tie long, start long, n int")
     return packed, marks
 
 
 def suffix_dedup(docs: DataFrame, texts: bool = False, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with `texts` the bytes left, too, as kept."""
     packed, marks = repeated_spans(docs, bucket_bytes, hot)
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    both = marks.select("bucket", "doc", "tie", F.lit(0).alias("kind"), "start", "n", none("data", "binary")).unionByName(packed.select("bucket", "doc", "tie", F.lit(1).alias("kind"), none("start", "long"), none("n", "int"), "data"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * texts)
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A document's marks come before its text."""
-        unpress = zstandard.ZstdDecompressor()
-        owner, spans, out = None, [], []
-        for b in batches:
-            kinds, first, n = b.column("kind").to_numpy(), b.column("start").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
-            docs_, ties, data = b.column("doc").to_pylist(), b.column("tie").to_pylist(), b.column("data")
-            done = 0
-            for i in [*np.flatnonzero(kinds == 1).tolist(), len(kinds)]:
-                if i > done:
-                    if owner != (docs_[done], ties[done]):
-                        owner, spans = (docs_[done], ties[done]), []
-                    spans.append((first[done:i].astype(np.int64), n[done:i].astype(np.int64)))
-                done = i + 1
-                if i == len(kinds):
-                    break
-                text = unpress.decompress(data[i].as_py())
-                gone = np.zeros(len(text) + 1, np.int32)
-                for a, k in spans if owner == (docs_[i], ties[i]) else []:
-                    np.add.at(gone, a, 1)
-                    np.add.at(gone, a + k + (LENGTH - 1), -1)
-                lost = np.cumsum(gone[:-1]) > 0
-                kept = np.frombuffer(text, np.uint8)[~lost].tobytes()
-                runs = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum()) if len(lost) else 0
-                doc = docs_[i] if docs_[i] != np.iinfo(np.int64).min else None
-                out.append((doc, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), *[kept] * texts))
-                if len(out) >= 5000:
-                    yield _batch(out, schema)
-                    out = []
-        if out:
-            yield _batch(out, schema)
-
-    return both.repartition("bucket").sortWithinPartitions("bucket", "doc", "tie", "kind").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    def remove(held: pa.Table, marked: pa.Table) -> pa.Table:
+        """A bucket's texts without what its marks cover."""
+        column = lambda c: marked.column(c).to_numpy()
+        order = np.lexsort((column("tie"), column("doc")))
+        doc, tie, start, n = (column(c)[order] for c in ("doc", "tie", "start", "n"))
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])])) if len(doc) else np.empty(0, np.int64)
+        spans = {(d, t): (a, b) for d, t, a, b in zip(doc[new].tolist(), tie[new].tolist(), new.tolist(), [*new[1:].tolist(), len(doc)], strict=False)}
+        out = []
+        for d, t, text in _texts(held):
+            gone = np.zeros(len(text) + 1, np.int32)
+            if (d, t) in spans:
+                a, b = spans[d, t]
+                np.add.at(gone, start[a:b], 1)
+                np.add.at(gone, start[a:b] + n[a:b] + (LENGTH - 1), -1)
+            lost = np.cumsum(gone[:-1]) > 0
+            kept = np.frombuffer(text, np.uint8)[~lost].tobytes()
+            runs = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum()) if len(lost) else 0
+            out.append((d if d != np.iinfo(np.int64).min else None, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), *[kept] * texts))
+        return _rows(out, schema)
+
+    return packed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(settled(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
