@@ -299,7 +299,7 @@ def made_page(rng: random.Random) -> tuple[str, set[str]]:
         return f"<{tag}>{inside}</{tag}>"
 
     p = lambda: f"<p>{prose()}</p>"
-    menu = lambda: named(0, ("nav", "nav", "div", "ul"), pick([f"<ul>{links()}</ul>", links("span"), links("div"), links()]))
+    menu = lambda: named(0, ("nav", "nav", "div", "ul"), pick([f"<ul>{links()}</ul>", links("span"), links("div"), links(), "<br>".join(re.findall(r"<a.*?</a>", links())), " | ".join(re.findall(r"<a.*?</a>", links()))]))
     advert = lambda: named(1, ("div", "div", "section"), pick([sentence(), p(), title(), sentence() + " " + sentence()]))
     reader = lambda: f'<{pick(["div", "li", "article"])} class="comment">{pick(["", "<h4>" + title() + "</h4>", "<span>" + word() + "</span>"])}{p()}</div>'
     talk = lambda: named(2, ("section", "div"), pick(["", f"<h2>{title()}</h2>", f"<h3>{title()}</h3>"]) + "".join(pick([reader, p])() for _ in range(rng.randint(1, 5))))
@@ -334,6 +334,8 @@ def made_page(rng: random.Random) -> tuple[str, set[str]]:
         return pick([advert, side, form, notice])()
 
     body = f"<h1>{own(title())}</h1>" if rng.random() < 0.75 else ""
+    if body and rng.random() < 0.25:
+        body = f"<header>{body}</header>"
     body += "".join(inner() for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 20])))
     if rng.random() < 0.25:
         body += f"<p>{own('This work is licensed under ' + title())}</p>"
@@ -348,6 +350,8 @@ def made_page(rng: random.Random) -> tuple[str, set[str]]:
     after = [f() for f in (talk, side, advert, form, menu, notice) if rng.random() < 0.4]
     rng.shuffle(before)
     rng.shuffle(after)
+    if rng.random() < 0.06:  # a layout of table cells
+        whole = f'<table><tr><td class="{pick(ROLES[0])}">{menu()}</td><td class="{pick(ROLES[8])}">{whole}</td></tr></table>'
     close = pick(["</body></html>", "</body></html>", ""])
     return f"<!DOCTYPE html><html><head><title>{title()}</title><style>p{{}}</style></head><body>{''.join(before)}{whole}{''.join(after)}{foot() if rng.random() < 0.85 else ''}{close}", main
 
