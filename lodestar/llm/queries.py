@@ -104,9 +104,29 @@ ORACLE: dict[str, str] = {
         select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
                sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from words left join hit_words using (doc_id) left join hit_items using (doc_id)""",
+    "op2_suffix_dedup": """
+        with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
+        strings as (select doc_id, p, md5(array_slice(b, p, p + 99)) as s from d, unnest(range(1, n - 98)) as t(p)),
+        later as (select doc_id, p from (select doc_id, p, row_number() over (partition by s order by doc_id, p) as r from strings) where r > 1),
+        islands as (select doc_id, p, sum(new) over (partition by doc_id order by p) as k from (select doc_id, p, case when p > lag(p) over (partition by doc_id order by p) + 100 then 1 else 0 end as new from later)),
+        spans as (select doc_id, min(p) as a, max(p) + 99 as z from islands group by doc_id, k),
+        gaps as (
+            select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 as a, a - 1 as z from spans
+            union all select doc_id, coalesce(max(spans.z), 0) + 1, any_value(n) from d left join spans using (doc_id) group by doc_id),
+        kept as (select doc_id, string_agg(hex(array_slice(b, gaps.a, gaps.z)), '' order by gaps.a) as x from gaps join d using (doc_id) where gaps.z >= gaps.a group by doc_id),
+        lost as (select doc_id, sum(z - a + 1) as n_removed, count(*) as n_spans from spans group by doc_id)
+        select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(x, ''))) as kept_sha256
+        from d left join kept using (doc_id) left join lost using (doc_id)""",
     "op3_exact_dedup": """
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window w as (partition by coalesce(text, ''))""",
+    "op5_warc": """
+        with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+        best as (select h, max(page_id) as best from p group by h)
+        select page_id, cast(strlen(html) as bigint) as payload_bytes,
+          array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast('0x' || substr(h, cast((i // 4) * 5 + 1 as int), 5) as bigint) >> cast(15 - 5 * (i % 4) as int)) & 31) + 1 as int), 1)), '') as payload_digest,
+          case when page_id = best then 'response' else 'revisit' end as record_type, case when page_id <> best then best end as refers_to, coalesce(url, '') as url
+        from p join best using (h) join (select page_id, url from pages) using (page_id)""",
     "op8_line_dedup": r"""
         with lines as (select doc_id, source, pos, l[pos] as line from (select doc_id, coalesce(source, chr(0)) as source, string_split(text, chr(10)) as l from documents), unnest(range(1, len(l) + 1)) as t(pos)),
         wide as (select line from lines where trim(line, ' ') <> '' group by line having count(distinct source) >= 5),
