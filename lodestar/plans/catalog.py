@@ -17,7 +17,7 @@ from lodestar.operators.relational import multiset_difference, top_k
 from lodestar.plans import profile
 from lodestar.session import shared_folder
 from lodestar.sources import footer, hosted
-from lodestar.sources.scan import cardinality, describe, narrow, scan, sql, write_table
+from lodestar.sources.scan import aggregating_scan, cardinality, describe, narrow, scan, sql, with_batch_index, write_table
 from lodestar.streaming.windows import tumbling
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +197,14 @@ def footer_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, cardinality(spark, f"{sf_dir}/{t}.parquet")) for t in ("customer", "orders", "lineitem")], "name string, n long")
 
 
+def agg_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregating_scan(spark, f"{sf_dir}/lineitem.parquet").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi"))
+
+
+def scan_batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_batch_index(_table(spark, sf_dir, "orders")).agg(F.count("*").alias("n"), F.min("batch_row").alias("first"), F.max("batch_row").alias("last"))
+
+
 def hosted_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosted.catalog(spark, [f"{sf_dir}/{t}.parquet" for t in ("nation", "region", "supplier")]).select("name", "offset", "size")
 
@@ -234,6 +242,8 @@ FUNCTIONS: dict[str, tuple[Q, str | None]] = {
     "footer_agg_minmax": (footer_agg_minmax, "select count(o_orderkey) as n_rows, min(o_orderkey) as min_value, max(o_orderkey) as max_value from orders"),
     "footer_agg_filtered": (footer_agg_filtered, "select count(o_orderkey) as n_rows, min(o_orderkey) as min_value, max(o_orderkey) as max_value from orders where o_orderkey between 100 and 5000"),
     "footer_cardinality": (footer_cardinality, "select 'customer' as name, count(*) as n from customer union all select 'orders', count(*) from orders union all select 'lineitem', count(*) from lineitem"),
+    "agg_pushdown": (agg_pushdown, "select count(*) as n, min(l_orderkey) as lo, max(l_orderkey) as hi from lineitem"),
+    "scan_batch_index": (scan_batch_index, 'select count(*) as n, cast(0 as bigint) as "first", count(*) - 1 as "last" from orders'),
     "hosted_catalog": (hosted_catalog, None),
     "hosted_scan": (hosted_scan, "select s_suppkey, s_name from supplier"),
     "scan_metrics": (scan_metrics, None),

@@ -72,6 +72,20 @@ def narrow(spark: SparkSession, path: str, column: str, kind: str, settings: Set
     return df
 
 
+def aggregating_scan(spark: SparkSession, path: str) -> DataFrame:
+    """The scan for COUNT, MIN and MAX of whole columns, which Spark's second file reader answers from footers on the executors.
+
+    It lives in a session of its own beside `spark`, as the settings for it would change every other scan's reader.
+    """
+    if path.startswith(hosted.SCHEME):
+        path = hosted.resolve(spark, path)
+    beside = spark.newSession()
+    beside.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    beside.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    beside.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return beside.read.parquet(path)
+
+
 def cardinality(spark: SparkSession, path: str) -> int:
     """Rows by the footers alone."""
     return sum(read_footer(spark, p).rows for p in data_files(spark, path))

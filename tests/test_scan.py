@@ -9,7 +9,7 @@ from lodestar.functions.settings import Settings
 from lodestar.operators.relational import multiset_difference, salted_join, same_rows, top_k
 from lodestar.plans import profile
 from lodestar.sources import footer, hosted
-from lodestar.sources.scan import cardinality, describe, narrow, scan, sql, with_batch_index, write_table
+from lodestar.sources.scan import aggregating_scan, cardinality, describe, narrow, scan, sql, with_batch_index, write_table
 
 
 @pytest.fixture(scope="session")
@@ -102,6 +102,12 @@ def test_footer_answers(spark, files):
     assert footer.rowgroup_stats(spark, path).count() == 32
 
 
+def test_aggregates_are_pushed(spark, files):
+    df = aggregating_scan(spark, str(files / "mixed_small.parquet")).selectExpr("count(*)", "min(c_int32)", "max(c_int64)")
+    assert "PushedAggregation: [COUNT(*), MIN(c_int32), MAX(c_int64)]" in df._jdf.queryExecution().executedPlan().toString()
+    assert one(df) == (65536, 0, 65535 * 10**6)
+
+
 def test_narrow(spark, files):
     s = Settings(spark)
     path = str(files / "ints.parquet")
