@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ship
+from lodestar.llm.common import settled, ship
 
-MAX_STATES = 200_000
-MAX_PIECES = 500_000
-MAX_PAIRS = 1_000_000
+MAX_STATES = 100_000
+MAX_PIECES = 220_000
+MAX_PAIRS = 300_000
 FEW = 20
 #: Tokens decoded at a time.
 CHUNK = 1 << 16
@@ -306,4 +306,4 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, ids: bool = False) ->
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long" + ", token_ids array<int>" * ids)
+    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(settled(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long" + ", token_ids array<int>" * ids)

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ship, shuffle_width, staged
+from lodestar.llm.common import settled, ship, shuffle_width, staged
 
 ORDER = 4
 BUCKET_BYTES = 24 << 20
@@ -186,7 +186,7 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
             data = pa.array([press.compress(t.as_py().encode().lower()) for t in b.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("bucket"), data], ["doc_id", "held_out", "bucket", "data"])
 
-    packed = rows.mapInArrow(pack, f"doc_id {kind}, held_out boolean, bucket int, data binary")
+    packed = rows.mapInArrow(settled(pack), f"doc_id {kind}, held_out boolean, bucket int, data binary")
 
     ask_schema = pa.schema([("owner", pa.int32()), ("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
 
@@ -214,7 +214,7 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
                 if len(own):
                     yield _batch([(o, bucket, b" ".join([words[i] for i in own]), count[own].tobytes())], ask_schema)
 
-    asked = staged(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(ask, "owner int, bucket int, words binary, counts binary"), "asked")
+    asked = staged(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settled(ask), "owner int, bucket int, words binary, counts binary"), "asked")
 
     word_schema = pa.schema([("owner", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("distinct", pa.int64())])
 
@@ -228,7 +228,7 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
             c = np.fromiter(total.values(), np.int64, len(total))
             yield _batch([(owner, b" ".join(total), c.tobytes(), int(c.sum()), int((c > 0).sum()))], word_schema)
 
-    owned = staged(asked.repartition("owner").sortWithinPartitions("owner").mapInArrow(own, "owner int, words binary, counts binary, n long, distinct long"), "words")
+    owned = staged(asked.repartition("owner").sortWithinPartitions("owner").mapInArrow(settled(own), "owner int, words binary, counts binary, n long, distinct long"), "words")
     totals = owned.agg(F.sum("n"), F.sum("distinct")).first()
     n_train, n_distinct = totals[0] or 0, totals[1] or 0
 
@@ -244,7 +244,7 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
                 keys, n = _summed(keys, each)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), owner, np.int32)), pa.array(keys), pa.array(n.astype(np.int64))], schema=gram_schema)
 
-    wanted = staged(owned.mapInArrow(to_grams, "owner int, gram long, n long"), "grams")
+    wanted = staged(owned.mapInArrow(settled(to_grams), "owner int, gram long, n long"), "grams")
     counted = staged(wanted.groupBy("gram").agg(F.sum("n").alias("n")), "counted")
     # Two dense tables of fixed size: 256 by 256 pairs of bytes, and 256 bytes.
     pairs = np.zeros((256, 256))
@@ -260,7 +260,7 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(p)], ["gram", "logp"])
 
     dealt = counted.withColumn("branch", F.expr("if(shiftright(gram, 40) = 1, 32L, 65536L | (shiftright(gram, 8) & 65535))"))
-    trie = dealt.repartition("branch").sortWithinPartitions("branch").mapInArrow(branch, "gram long, logp double")
+    trie = dealt.repartition("branch").sortWithinPartitions("branch").mapInArrow(settled(branch), "gram long, logp double")
     told = wanted.select("owner", "gram").join(trie, "gram")
 
     valued_schema = pa.schema([("owner", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("logps", pa.binary()), ("known", pa.float64())])
@@ -284,7 +284,7 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
 
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     grams_then_words = told.select("owner", F.lit(0).alias("kind"), none("words", "binary"), none("counts", "binary"), "gram", "logp").unionByName(owned.select("owner", F.lit(1).alias("kind"), "words", "counts", none("gram", "long"), none("logp", "double")))
-    valued = staged(grams_then_words.repartition("owner").sortWithinPartitions("owner", "kind").mapInArrow(value, "owner int, words binary, counts binary, logps binary, known double"), "valued")
+    valued = staged(grams_then_words.repartition("owner").sortWithinPartitions("owner", "kind").mapInArrow(settled(value), "owner int, words binary, counts binary, logps binary, known double"), "valued")
     known_share = min(valued.agg(F.sum("known")).first()[0] or 0.0, 1 - 1e-9)
 
     reply_schema = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("logps", pa.binary())])
@@ -304,7 +304,7 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
                         yield _batch([(bucket, words.as_py(), count[at].tobytes(), logp[at].tobytes())], reply_schema)
 
     words_then_asked = valued.select("owner", F.lit(1).alias("kind"), none("bucket", "int"), "words", "counts", "logps").unionByName(asked.select("owner", F.lit(2).alias("kind"), "bucket", "words", none("counts", "binary"), none("logps", "binary")))
-    replies = words_then_asked.repartition("owner").sortWithinPartitions("owner", "kind").mapInArrow(reply, "bucket int, words binary, counts binary, logps binary")
+    replies = words_then_asked.repartition("owner").sortWithinPartitions("owner", "kind").mapInArrow(settled(reply), "bucket int, words binary, counts binary, logps binary")
 
     out_names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -342,7 +342,7 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
     two = replies.select("bucket", F.lit(0).alias("kind"), "words", "counts", "logps", none("doc_id", kind), none("held_out", "boolean"), none("data", "binary")).unionByName(
         packed.select("bucket", F.lit(1).alias("kind"), none("words", "binary"), none("counts", "binary"), none("logps", "binary"), "doc_id", "held_out", "data")
     )
-    return two.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return two.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(settled(add), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def token_probabilities(count: np.ndarray, logp: np.ndarray, n_train: int, n_distinct: int, known_share: float) -> np.ndarray:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import attach, components, ship, staged
+from lodestar.llm.common import attach, components, settled, ship, staged
 
 BINS, BANDS, ROWS = 128, 32, 4
 BLOCK_NODES, BLOCK_SHINGLES = 4000, 4_000_000
@@ -116,7 +116,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
         if ids:
             yield flush(ids, sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest string, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(settled(run), "doc_id long, n_shingles long, digest string, bands array<long>")
 
 
 class _Sets:
@@ -214,7 +214,7 @@ def near_components(docs: DataFrame, size: int, percent: int, block_nodes: int =
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["root", "block", "blocks", "node", "label"])
 
-    solved = staged(dealt.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(solve, "root long, block long, blocks long, node long, label long"), "solved")
+    solved = staged(dealt.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(settled(solve), "root long, block long, blocks long, node long, label long"), "solved")
     labels = solved.where("blocks = 1").groupBy("node").agg(F.min("label").alias("label"))
     if large:
         labels = labels.unionByName(_across(solved.where("blocks > 1"), texts, size, percent, block_nodes))
@@ -252,7 +252,7 @@ def _across(solved: DataFrame, texts: DataFrame, size: int, percent: int, block_
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     order = ["root", "to", "chunk"]
-    cross = asked.select(*order, "asks", "node", "text").unionByName(there.select(*order, "asks", "node", "text")).repartition(*order).sortWithinPartitions(*order).mapInArrow(meet, "a long, b long")
+    cross = asked.select(*order, "asks", "node", "text").unionByName(there.select(*order, "asks", "node", "text")).repartition(*order).sortWithinPartitions(*order).mapInArrow(settled(meet), "a long, b long")
     joined = components(cross.unionByName(solved.select(F.col("node").alias("a"), F.col("label").alias("b")))).select("node", F.col("root").alias("label"))
     return solved.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 

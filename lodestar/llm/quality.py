@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ship, staged
+from lodestar.llm.common import settled, ship, staged
 
 N_FOURIER, WIDTH, RIDGE, SEED = 320, 5.0, 1e-3, 20240
 N_BINS, FAN_IN, CUT = 1024, 16, 0.3
@@ -108,7 +108,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([statistics(t.as_py()).astype("f4").tobytes() for t in b.column("text")], pa.binary())], ["doc_id", "stats"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats binary")
+    return docs.select("doc_id", "text").mapInArrow(settled(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -144,7 +144,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> dict | None:
             if not isinstance(total, int):
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["node", "v"])
 
-        return _tree_sum(known.mapInArrow(run, "node int, v binary"), n)
+        return _tree_sum(known.mapInArrow(settled(run), "node int, v binary"), n)
 
     moments = summed(lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]))
     if moments is None:
@@ -181,7 +181,7 @@ def score(stats: DataFrame, model: dict | None, *more: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw), pa.array(calibrated), *(b.column(c) for c in more)], ["doc_id", "raw", "score", *more])
 
     kinds = {f.name: f.dataType.simpleString() for f in stats.schema}
-    return stats.mapInArrow(run, f"doc_id {kinds['doc_id']}, raw double, score double" + "".join(f", {c} {kinds[c]}" for c in more))
+    return stats.mapInArrow(settled(run), f"doc_id {kinds['doc_id']}, raw double, score double" + "".join(f", {c} {kinds[c]}" for c in more))
 
 
 def held_out(folds: int = 5):
@@ -213,4 +213,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame
             raw = fourier(x, model["mean"], model["scale"]) @ model["w"]
             yield b.filter(pa.array(np.clip(np.interp(raw, model["x"], model["y"]), 0, 1) >= cut))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(settled(keep), docs.schema)
