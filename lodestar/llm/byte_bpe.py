@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import settled, ship
 
-MAX_STATES = 100_000
-MAX_PIECES = 220_000
-MAX_PAIRS = 300_000
-FEW = 20
+MAX_STATES = 140_000
+MAX_PIECES = 300_000
+MAX_PAIRS = 350_000
+FEW = 1
 #: Tokens decoded at a time.
 CHUNK = 1 << 16
 
@@ -87,6 +87,7 @@ class Transducer:
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
         self._halves = halves
+        self._packed = {rank: struct.pack("<I", rank) for rank in ranks.values()}
         self._pairs: dict[int, bool] = {}
         self._forget()
 
@@ -149,21 +150,29 @@ class Transducer:
 
     def _advance(self, state: int, byte: int) -> tuple[int, bytes]:
         threads, child, tokens, inner, under = [], self._child, self._token, self._inner, self._under
+        shared: tuple | None = None
         for last, node, out in self._states[state]:
             node = child.get(node << 8 | byte, 0)
-            if node:
-                token = tokens[node]
-                if token >= 0 and (last < 0 or self._may_follow(last, token)):
-                    threads.append((token, 0, (*out, token)))
-                if inner[node] and (last < 0 or node not in under or any(self._may_follow(last, t) for t in under[node])):
-                    threads.append((last, node, out))
+            if not node:
+                continue
+            token = tokens[node]
+            if token >= 0 and (last < 0 or self._may_follow(last, token)):
+                ended = (*out, token)
+                threads.append((token, 0, ended))
+                shared = ended if shared is None else shared and self._prefix(shared, ended)
+            if inner[node]:
+                if last >= 0 and node in under:
+                    for t in under[node]:
+                        if self._may_follow(last, t):
+                            break
+                    else:
+                        continue
+                threads.append((last, node, out))
+                shared = out if shared is None else shared and self._prefix(shared, out)
         written = b""
-        first = threads[0][2]
-        if first and all(out and out[0] == first[0] for _, _, out in threads):
-            n = 1
-            while all(len(out) > n and out[n] == first[n] for _, _, out in threads) and n < len(first):
-                n += 1
-            written = struct.pack(f"<{n}I", *first[:n])
+        if shared:
+            n = len(shared)
+            written = b"".join([self._packed[t] for t in shared])
             threads = [(last, node, out[n:]) for last, node, out in threads]
         key = tuple(threads)
         to = self._ids.get(key)
@@ -173,6 +182,16 @@ class Transducer:
         found = self._step[state << 8 | byte] = (to, written)
         return found
 
+    @staticmethod
+    def _prefix(a: tuple, b: tuple) -> tuple:
+        """What both begin with."""
+        n = 0
+        for x, y in zip(a, b, strict=False):
+            if x != y:
+                break
+            n += 1
+        return a[:n]
+
     def encode(self, piece: bytes) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers."""
         if len(self._states) > MAX_STATES:
@@ -180,11 +199,13 @@ class Transducer:
         state, step, out = 0, self._step, []
         for b in piece:
             found = step.get(state << 8 | b) or self._advance(state, b)
-            state = found[0]
-            if found[1]:
-                out.append(found[1])
-        rest = next((out for _, node, out in self._states[state] if not node), ())
-        out.append(struct.pack(f"<{len(rest)}I", *rest))
+            state, written = found
+            if written:
+                out.append(written)
+        for _, node, rest in self._states[state]:
+            if not node:
+                out += [self._packed[t] for t in rest]
+                break
         return b"".join(out)
 
 
