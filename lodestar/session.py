@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -57,14 +58,21 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, so that Python workers import it anywhere."""
+    """Give the executors this package, once for each application, so that Python workers import it anywhere.
+
+    The archive goes to the shared folder, from where Spark hands it out.
+    """
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    root = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="lodestar-"), "lodestar.zip")
-    with zipfile.ZipFile(archive, "w") as z:
+    root, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(archive)
+    to = f"{shared_folder(spark)}/lodestar-{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(to)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(held.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(to)
     _SHIPPED.add(app)
