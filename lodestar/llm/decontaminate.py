@@ -45,7 +45,9 @@ def _hash(words: Column) -> Column:
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
     """(doc_id, text_hash, n_words, pos, len, item_id): verified hits; a document without any has rows with null pos alone."""
     windows = benchmark_windows(items, window).withColumn("verified", F.lit(True))
-    hashes = windows.select("len", _hash(F.split("window", " ")).alias("h")).distinct().limit(max_set + 1).collect()
+    # What is broadcast is a row for each window and item, so that is what is counted.
+    in_set = windows.limit(max_set + 1).count() <= max_set
+    hashes = windows.select("len", _hash(F.split("window", " ")).alias("h")).distinct().collect() if in_set else []
     words = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), word_list(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
 
     def at(n: int, known: list[int] | None) -> Column:
@@ -55,8 +57,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set:
             starts = F.filter(starts, lambda i: _hash(F.slice("w", i, n)).isin(known))
         return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice("w", i, n), " ").alias("window")))
 
-    in_set = len(hashes) <= max_set
-    sizes = sorted({r["len"] for r in hashes} or {window}) if in_set else range(1, window + 1)
+    sizes = sorted({r["len"] for r in (hashes if in_set else windows.select("len").distinct().collect())} or {window})
     found = [at(n, [r["h"] for r in hashes if r["len"] == n] if in_set else None) for n in sizes]
     near = words.select("doc_id", "text_hash", "n_words", F.explode_outer(F.flatten(F.array(*found))).alias("c")).select("doc_id", "text_hash", "n_words", "c.*")
     held = near.join(F.broadcast(windows) if in_set else windows, ["window", "len"], "left")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import attach, ship, shuffle_width, staged
+from lodestar.llm.common import HOT_SHARE, attach, ship, shuffle_width, staged
 
 FAN_IN = 8
 _ENTRY = np.dtype([("digest", "S64"), ("n_bytes", "<i8"), ("best", "<i8"), ("count", "<i8")])
@@ -114,7 +114,7 @@ def drop_exact_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     # Only groups of two or more can drop anything, and their kept row is named by digest and identifier.
     many = groups.where("group_size > 1").select(F.col("text_sha256").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
     total = groups.agg(F.sum("group_size")).first()[0] or 0
-    hot = F.col("__size") * 1000 > F.lit(total)
+    hot = F.col("__size") * HOT_SHARE > F.lit(total)
     keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     lost = lambda g: (F.col("__sha") == g["__digest"]) & ~keyed["doc_id"].eqNullSafe(g["__keep"])
     few, rest = F.broadcast(many.where(hot)), many.where(~hot).hint("merge")
