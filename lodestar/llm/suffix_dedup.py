@@ -35,7 +35,7 @@ from lodestar.llm.common import settled, ship, shuffle_width
 from lodestar.llm.lm_score import _batch, _groups
 
 LENGTH, GRAM = 100, 24
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes whose anchors are found at a time; places in it fit in 20 bits.
 CHUNK = 1 << 19
 #: Bytes of distinct segments that are sorted together, but for a single group of up to HOT segments.
@@ -229,8 +229,12 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int =
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1, write_content_size=True)
         for b in batches:
-            raw = [t.as_py().encode() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([zlib.crc32(t) for t in raw], pa.int64()), pa.array([press.compress(t) for t in raw], pa.binary())], ["doc", "tie", "data"])
+            ties, data = [], []
+            for t in b.column("text"):
+                raw = t.as_py().encode()
+                ties.append(zlib.crc32(raw))
+                data.append(press.compress(raw))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(ties, pa.int64()), pa.array(data, pa.binary())], ["doc", "tie", "data"])
 
     packed = rows.mapInArrow(settled(pack), "doc long, tie long, data binary").select(F.pmod(F.xxhash64("doc", "tie"), F.lit(buckets)).cast("int").alias("bucket"), "doc", "tie", "data")
 
