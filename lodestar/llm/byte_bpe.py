@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm import common
 from lodestar.llm.common import settled, ship
 
 MAX_STATES = 140_000
@@ -296,6 +297,7 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     """One for each Python process."""
+    common.KEPT["byte_bpe"] = _CODECS.clear
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = Codec(read_ranks(path), pattern)
     return _CODECS[path, pattern]
@@ -327,4 +329,4 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, ids: bool = False) ->
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(settled(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long" + ", token_ids array<int>" * ids)
+    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(settled(run, "byte_bpe"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long" + ", token_ids array<int>" * ids)

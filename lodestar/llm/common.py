@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.session import shared_folder, ship, shuffle_width
 
-__all__ = ["attach", "components", "lower_ascii", "staged", "table", "settle", "settled", "ship", "shuffle_width", "new_path"]
+__all__ = ["KEPT", "attach", "components", "lower_ascii", "staged", "table", "settle", "settled", "ship", "shuffle_width", "new_path"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows; so there are fewer than HOT_SHARE hot keys, whatever the data.
@@ -86,11 +86,24 @@ def settle() -> None:
         trim(0)
 
 
-def settled(run: Callable) -> Callable:
-    """The same generator or function over Arrow data, followed by settle()."""
+#: What drops the tables that an operator keeps in a worker between its tasks, by operator.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def make_room(owner: str) -> None:
+    """A function of the module, as what `settled` returns is pickled with a copy of the globals that it names."""
+    for name, drop in KEPT.items():
+        if name != owner:
+            drop()
+
+
+def settled(run: Callable, owner: str = "") -> Callable:
+    """The same generator or function over Arrow data, after dropping what other operators keep in the worker, and followed by settle()."""
+
     if inspect.isgeneratorfunction(run):
 
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make_room(owner)
             yield from run(batches)
             settle()
 
@@ -99,6 +112,7 @@ def settled(run: Callable) -> Callable:
 
         def one(table: pa.Table) -> pa.Table:
             try:
+                make_room(owner)
                 return run(table)
             finally:
                 settle()
@@ -107,6 +121,7 @@ def settled(run: Callable) -> Callable:
 
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
         try:
+            make_room(owner)
             return run(left, right)
         finally:
             settle()

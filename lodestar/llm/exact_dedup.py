@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import HOT_SHARE, attach, ship, shuffle_width, staged
+from lodestar.llm.common import HOT_SHARE, attach, settled, ship, shuffle_width, staged
 
 FAN_IN = 8
 _ENTRY = np.dtype([("digest", "S64"), ("n_bytes", "<i8"), ("best", "<i8"), ("count", "<i8")])
@@ -83,20 +83,18 @@ def exact_groups(docs: DataFrame, keep: str = "largest") -> tuple[DataFrame, Dat
         entries = np.concatenate([np.frombuffer(p, _ENTRY) for p in runs["payload"]])
         return pd.DataFrame({"range": [key[0]], "run": [key[1]], "payload": [_merge(entries, keep).tobytes()]})
 
-    runs = rows.mapInArrow(leaf, _RUN)
-    while True:
+    def root(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
+        """The last round of a range: what it merges is told digest by digest, by the same worker."""
+        e = _merge(np.concatenate([np.frombuffer(p, _ENTRY) for p in runs["payload"]]), keep)
+        best = pd.array(e["best"], dtype="Int64")
+        best[e["best"] == _NONE] = pd.NA
+        return pd.DataFrame({"text_sha256": [d.decode() for d in e["digest"].tolist()], "n_bytes": e["n_bytes"], "keep_id": best, "group_size": e["count"]})
+
+    runs = rows.mapInArrow(settled(leaf), _RUN)
+    while n_runs > FAN_IN:
         runs = runs.groupBy("range", F.floor(F.col("run") / FAN_IN).cast("int").alias("run")).applyInPandas(node, _RUN)
         n_runs = -(-n_runs // FAN_IN)
-        if n_runs <= 1:
-            break
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for payload in b.column("payload"):
-                e = np.frombuffer(payload.as_py(), _ENTRY)
-                yield pa.RecordBatch.from_arrays([pa.array([d.decode() for d in e["digest"].tolist()], pa.string()), pa.array(e["n_bytes"]), pa.array(e["best"], mask=e["best"] == _NONE), pa.array(e["count"])], ["text_sha256", "n_bytes", "keep_id", "group_size"])
-
-    groups = staged(runs.mapInArrow(entries, "text_sha256 string, n_bytes long, keep_id long, group_size long"), "groups")
+    groups = staged(runs.groupBy("range").applyInPandas(root, "text_sha256 string, n_bytes long, keep_id long, group_size long"), "groups")
     return rows, groups
 
 
