@@ -330,12 +330,12 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
                 if not ready:
                     count, logp, ready = np.concatenate(counts), np.concatenate(logps), True
                     known, base = count > 0, np.log10(count + 0.1) - floor
-                    p = token_probabilities(count, logp, n_train, n_distinct, known_share)
+                    logs = token_logs(count, logp, n_train, n_distinct, known_share)
                 sums = []
                 for data in texts.column("data"):
                     words = tokens(unpress.decompress(data.as_py()))
                     at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                    sums.append((len(words), int(known[at].sum()), n_train, float(base[at].sum()), code_length(at, p[at])))
+                    sums.append((len(words), int(known[at].sum()), n_train, float(base[at].sum()), code_length(at, logs[at])))
                 cols = list(zip(*sums, strict=True))
                 yield pa.RecordBatch.from_arrays([texts.column("doc_id"), texts.column("held_out"), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.float64()) for c in cols[3:])], out_names)
 
@@ -345,11 +345,11 @@ def lm_scores(docs: DataFrame, held, bucket_bytes: int = BUCKET_BYTES) -> DataFr
     return two.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(settled(add), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def token_probabilities(count: np.ndarray, logp: np.ndarray, n_train: int, n_distinct: int, known_share: float) -> np.ndarray:
-    """Of each token: by its count if it is known, else the escape and the trie's probability among the unknown."""
+def token_logs(count: np.ndarray, logp: np.ndarray, n_train: int, n_distinct: int, known_share: float) -> np.ndarray:
+    """log10 probability of each token: by its count if it is known, else the escape and the trie's probability among the unknown."""
     if not n_train:
-        return np.maximum(10.0**logp, 1e-300)
-    return np.where(count > 0, (2.0 * count - 1) / (2.0 * n_train), n_distinct / (2.0 * n_train) * np.maximum(10.0**logp, 1e-300) / (1 - known_share))
+        return logp
+    return np.where(count > 0, np.log10(np.maximum(2.0 * count - 1, 1) / (2.0 * n_train)), np.log10(n_distinct / (2.0 * n_train) / (1 - known_share)) + logp)
 
 
 def _before(keys: np.ndarray) -> np.ndarray:
@@ -363,10 +363,10 @@ def _before(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def code_length(at: np.ndarray, p: np.ndarray) -> float:
-    """log10 probability of a text's tokens `at` (numbers), of pretrained probability p, with what the text itself has taught so far.
+def code_length(at: np.ndarray, logs: np.ndarray) -> float:
+    """log10 probability of a text's tokens `at` (numbers), of pretrained log10 probability `logs`, with what the text itself has taught so far.
 
-    The text's own model is the mean of its counts and of its counts after the last token, where that has occurred before.
+    Mixed as logarithms, for a long token's probability is less than any double. The text's own model is the mean of its counts and of its counts after the last token, where that has occurred before.
     """
     n = len(at)
     place = np.arange(n)
@@ -378,7 +378,12 @@ def code_length(at: np.ndarray, p: np.ndarray) -> float:
         after[1:] = np.where(times > 0, pair / np.maximum(times, 1), own[1:])
     own = (own + after) / 2
     grown = place / (place + WARM)
-    each = np.array([np.log10((1 - s * grown) * p + s * grown * own).sum() for s in SHARES])
+    pretrained = logs * np.log(10)
+    each = np.empty(len(SHARES))
+    for k, s in enumerate(SHARES):
+        with np.errstate(divide="ignore"):
+            told = np.log(s * grown * own)
+        each[k] = np.logaddexp(np.log1p(-s * grown) + pretrained, told).sum() / np.log(10)
     return float(each.max() + np.log10(np.mean(10.0 ** (each - each.max()))))
 
 

@@ -158,6 +158,73 @@ def test_lm_scores(spark, docs, corpus, none, clashing):
     assert lm_score.lm_scores(clashing, quality.held_out(10)).count() == len(corpus)
 
 
+def test_lm_long_tokens(spark):
+    rng = random.Random(6)
+    held = [d for d in range(200) if zlib.crc32(str(d).encode()) % 10 == 0][:3]
+    train = [(d, " ".join(rng.choice(["ab", "cab", "bca", "abba"]) for _ in range(30))) for d in range(200) if zlib.crc32(str(d).encode()) % 10][:20]
+    blob = "".join(rng.choice("abc/+Z9") for _ in range(20_000))
+    texts = dict(zip(held, [f"ab {blob} cab", f"{blob} {blob}", blob[:400]], strict=True))
+    count = Counter(w for _, t in train for w in tok(t))
+    n, v = sum(count.values()), len(count)
+    contexts = defaultdict(Counter)
+    spelled = lambda w: b" " + w if w == b"\n" else b" " + w + b" "
+    for w in count:
+        s = spelled(w)
+        for i in range(1, len(s)):
+            for m in range(min(i, lm_score.ORDER) + 1):
+                contexts[s[i - m : i]][s[i]] += 1
+
+    def trie(w):
+        """log10 of the token's probability by the contexts alone."""
+        s, p = spelled(w), 0.0
+        for i in range(1, len(s)):
+            out = set()
+            for m in range(min(i, lm_score.ORDER), -1, -1):
+                c = {k: x for k, x in contexts.get(s[i - m : i], {}).items() if k not in out}
+                if c:
+                    total = 2 * sum(c.values())
+                    if s[i] in c:
+                        p += math.log10((2 * c[s[i]] - 1) / total)
+                        break
+                    p += math.log10(len(c) / total)
+                    out |= set(c)
+            else:
+                p -= math.log10(256 - len(out))
+        return p
+
+    def add(a, b):
+        return max(a, b) + math.log10(1 + 10 ** (min(a, b) - max(a, b)))
+
+    z = sum(10 ** trie(w) for w in count)
+
+    def score(words, of):
+        each = []
+        for share in lm_score.SHARES:
+            total, seen, after, last = 0.0, Counter(), defaultdict(Counter), None
+            for i, w in enumerate(words):
+                own = seen[w] / i if i else 0.0
+                follow = after[last][w] / sum(after[last].values()) if after[last] else own
+                g = share * i / (i + lm_score.WARM)
+                p = math.log10(1 - g) + of[w]
+                total += add(p, math.log10(g * (own + follow) / 2)) if g * (own + follow) else p
+                seen[w] += 1
+                if i:
+                    after[last][w] += 1
+                last = w
+            each.append(total)
+        return max(each) + math.log10(sum(10 ** (e - max(each)) for e in each) / len(each))
+
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark.createDataFrame([*train, *texts.items()], "doc_id long, text string"), quality.held_out(10)).collect()}
+    for d, t in texts.items():
+        of = {w: math.log10((2 * count[w] - 1) / (2 * n)) if count[w] else math.log10(v / (2 * n) / (1 - z)) + trie(w) for w in tok(t)}
+        want = score(tok(t), of)
+        assert want < -300 and abs(got[d] - want) < 1e-9 * abs(want)
+    # Without training text every byte costs log10(256), the spaces and the end's too.
+    untaught = lm_score.lm_scores(spark.createDataFrame([(held[0], blob)], "doc_id long, text string"), quality.held_out(10)).first()
+    want = score(tok(blob), {w: -math.log10(256) * (len(w) + (w != b"\n")) for w in tok(blob)})
+    assert untaught["train_tokens"] == 0 and abs(untaught["score"] - want) < 1e-9 * abs(want)
+
+
 def test_ppm_sums_to_one():
     rng = np.random.default_rng(2)
     words = [bytes(rng.choice([97, 98, 195, 169], rng.integers(1, 6)).astype(np.uint8)) for _ in range(50)]
