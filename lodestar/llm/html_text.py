@@ -33,7 +33,10 @@ N_TAGS, N_NAMES, N_WORDS = 32, 48, 24
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math object canvas audio video head title textarea select".split())
+RAW = frozenset("script style template noscript iframe svg math object canvas audio video title textarea select".split())
+#: What ends the skip over an element of RAW.
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.A | re.I) for tag in RAW}
+_HEAD_END = re.compile(r"(?:</head|<body)(?=[\s/>]|\Z)", re.A | re.I)
 #: An element of the key is closed by the start of one of these.
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 #: What words in tag names, classes and ids say of a block.
@@ -81,7 +84,7 @@ def blocks(page: str) -> list[tuple[str, frozenset[int], str, int]]:
     parts: list[str] = []
     linked, in_link, at, n = 0, 0, 0, len(page)
     marks: dict[tuple[str, str], frozenset[int]] = {}
-    lower = None
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -111,14 +114,18 @@ def blocks(page: str) -> list[tuple[str, frozenset[int], str, int]]:
             continue
         tag, closing = name.lower(), bool(m[1] or m[4])
         if tag in RAW and not closing:
-            lower = page.lower() if lower is None else lower
-            end = lower.find("</" + tag, at)
-            if end < 0 and tag == "head":
-                end = lower.find("<body", at)
-            if end < 0 and tag in ("head", "title", "object", "svg", "noscript", "select", "template"):
+            if tag in ("svg", "math") and (m[3] or "").endswith("/"):
                 continue
-            after = page.find(">", end) if end >= 0 else -1
-            at = n if after < 0 else end if page[end + 1] != "/" else after + 1
+            end = None if tag in endless else _END[tag].search(page, at)
+            if end is not None:
+                at = page.find(">", end.end()) + 1 or n
+            else:
+                # What isn't code is read on; code goes to the end of a head that follows, else to the page's.
+                endless.add(tag)
+                if tag not in ("script", "style"):
+                    continue
+                end = _HEAD_END.search(page, at)
+                at = n if end is None else end.start()
             if tag not in ("svg", "math"):
                 flush()
             continue
@@ -133,7 +140,8 @@ def blocks(page: str) -> list[tuple[str, frozenset[int], str, int]]:
                     pop()
                 pop()
             continue
-        if tag in VOID:
+        # A head's own elements are skipped one by one: its end tag may be left out, and any other element or text ends it.
+        if tag in VOID or tag == "head":
             continue
         while tag in CLOSED_BY.get(stack[-1][0], ()):
             pop()

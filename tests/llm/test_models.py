@@ -342,6 +342,23 @@ def test_blocks():
         html_text.blocks(odd)
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<head><title>t</title><h1>A</h1><p>b<header><p>c</header><p>d", ["A", "b", "c", "d"]),
+        ("<head><title>t</title><meta name=x><body><header>a</header>b", ["a", "b"]),
+        ("<head><script>s='<body>'</script><style>x</style></head><p>a", ["a"]),
+        ("<head><script>x</head><body><p>a", ["a"]),
+        ("İ" * 9 + "<p>a<script>x</SCRIPT >b<script>y</script>c", ["İ" * 9, "a", "b", "c"]),
+        ("<p>a<script>x</scripted>y</script>b", ["a", "b"]),
+        ("<p>a<video src=v><p>b<audio><p>c<canvas><p>d<math><p>e<iframe><p>f", ["a", "b", "c", "d", "e", "f"]),
+        ("<p>a<svg/><p>b<svg><text>x</text></svg><p>c<title>t</title", ["a", "b", "c"]),
+    ],
+)
+def test_blocks_skip_no_text(page, texts):
+    assert [t for t, *_ in html_text.blocks(page)] == texts
+
+
 def test_labeller(model):
     rng = random.Random(999)
     right = total = 0
