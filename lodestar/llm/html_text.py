@@ -165,8 +165,7 @@ def vectors(found: list[tuple[str, frozenset[int], str, int]]) -> np.ndarray:
             x[i, words_at - len(_LEAVES) + _LEAVES.index(leaf)] = 1
         words = text.split()
         n, k = len(text), len(words)
-        for w in words[:40]:
-            x[i, words_at + zlib.crc32(w.lower().encode()) % N_WORDS] += 1 / min(k, 40)
+        x[i, words_at : words_at + N_WORDS] = np.bincount([zlib.crc32(w.lower().encode()) % N_WORDS for w in words], minlength=N_WORDS) / k
         v = x[i, words_at + N_WORDS :]
         v[0], v[1], v[2] = np.log1p(n) / 6, np.log1p(k) / 4, min(1.0, linked / n)
         v[3] = sum(text.count(c) for c in ".,;:") / k
@@ -174,7 +173,7 @@ def vectors(found: list[tuple[str, frozenset[int], str, int]]) -> np.ndarray:
         v[5] = "©" in text
         v[6] = text[0].isupper()
         v[7] = sum(w[0].isupper() for w in words) / k
-        v[8] = sum(c.isdigit() for c in text[:200]) / min(n, 200)
+        v[8] = sum(map(str.isdigit, text)) / n
         v[9], v[10], v[11] = i / len(found), i == 0, i == len(found) - 1
         v[12] = n < 25
         v[13] = n > 120

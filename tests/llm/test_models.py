@@ -359,6 +359,15 @@ def test_blocks_skip_no_text(page, texts):
     assert [t for t, *_ in html_text.blocks(page)] == texts
 
 
+def test_vectors_read_whole_blocks():
+    text = "word " * 60 + "menu notice 12345"
+    x = html_text.vectors([(text, frozenset(), "p", 0)])[0]
+    at = html_text.N_INPUT - 16 - html_text.N_WORDS
+    share = Counter(zlib.crc32(w.encode()) % html_text.N_WORDS for w in text.split())
+    assert np.allclose(x[at : at + html_text.N_WORDS], [share[i] / 63 for i in range(html_text.N_WORDS)])
+    assert abs(x[at + html_text.N_WORDS + 8] - 5 / len(text)) < 1e-6
+
+
 def test_labeller(model):
     rng = random.Random(999)
     right = total = 0
