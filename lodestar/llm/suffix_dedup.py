@@ -241,24 +241,23 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int =
     ask_schema = pa.schema([("owner", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.binary()), ("counts", pa.binary())])
 
     def ask(texts: pa.Table) -> pa.Table:
-        """A bucket's distinct anchors and how often they occur (255: so often or more), by owner."""
+        """A bucket's distinct anchors and how often they occur, by owner."""
         found = [segments(data, ends)[0] for data, ends, _ in _chunks(_texts(texts))]
         anchors, n = np.unique(np.concatenate([*found, np.empty(0, _U)]), return_counts=True)
         of = (anchors >> _U(32)).astype(np.int64) * owners >> 32
         cut = np.searchsorted(of, np.arange(owners + 1))
-        n = np.minimum(n, 255).astype(np.uint8)
         bucket = texts.column("bucket")[0].as_py()
-        return _rows([(o, bucket, anchors[cut[o] : cut[o + 1]].tobytes(), n[cut[o] : cut[o + 1]].tobytes()) for o in range(owners) if cut[o] < cut[o + 1]], ask_schema)
+        return _rows([(o, bucket, anchors[cut[o] : cut[o + 1]].tobytes(), write_counts(n[cut[o] : cut[o + 1]])) for o in range(owners) if cut[o] < cut[o + 1]], ask_schema)
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The anchors that occur more than once, with 1 or, if they are hot, 2."""
         for _, slices in _groups(batches, "owner"):
-            asked = [(bucket, np.frombuffer(a.as_py(), _U), np.frombuffer(c.as_py(), np.uint8)) for b in slices for bucket, a, c in zip(b.column("bucket").to_pylist(), b.column("anchors"), b.column("counts"), strict=True)]
+            asked = [(bucket, np.frombuffer(a.as_py(), _U), c.as_py()) for b in slices for bucket, a, c in zip(b.column("bucket").to_pylist(), b.column("anchors"), b.column("counts"), strict=True)]
             every = np.concatenate([a for _, a, _ in asked])
             order = np.argsort(every, kind="stable")
-            every, counts = every[order], np.concatenate([c for *_, c in asked])[order].astype(np.int64)
+            every, counts = every[order], np.concatenate([read_counts(c, len(a)) for _, a, c in asked])[order]
             starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            total = np.add.reduceat(counts, starts)
+            total = np.add.reduceat(counts, starts, dtype=np.int64)
             unique = every[starts]
             flag = (total > 1).astype(np.uint8) + (total > hot)
             for bucket, a, _ in asked:
@@ -370,6 +369,18 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int =
     return packed, marks
 
 
+def write_counts(n: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 and more are 255 there and stand in 32 bits after all bytes."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u4").tobytes()
+
+
+def read_counts(data: bytes, k: int) -> np.ndarray:
+    """The `k` counts that write_counts wrote."""
+    n = np.frombuffer(data[:k], np.uint8).astype(np.uint32)
+    n[n == 255] = np.frombuffer(data[k:], "<u4")
+    return n
+
+
 def suffix_dedup(docs: DataFrame, texts: bool = False, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with `texts` the bytes left, too, as kept."""
     packed, marks = repeated_spans(docs, bucket_bytes, hot)

@@ -69,6 +69,12 @@ def test_two_stage_order(data):
     assert [text[i : i + n + 1] for i in order] == sorted(text[i : i + n + 1] for i in range(n))
 
 
+def test_anchor_counts_are_whole():
+    for n in ([1, 254, 255, 256, 60_000, 3], [1, 2], [255], []):
+        data = suffix_dedup.write_counts(np.array(n, np.int64))
+        assert suffix_dedup.read_counts(data, len(n)).tolist() == n
+
+
 # Quality
 
 
