@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,6 +101,21 @@ class Settings:
             self._option(name)
         self._spark.conf.unset(PREFIX + name)
 
+    @contextmanager
+    def held(self, values: dict[str, object]) -> Iterator[None]:
+        """The options set to `values` inside, and to what they were after; queries must run inside to see them."""
+        before = {name: self._spark.conf.get(PREFIX + name, None) for name in values}
+        try:
+            for name, value in values.items():
+                self.set(name, value)
+            yield
+        finally:
+            for name, value in before.items():
+                if value is None:
+                    self._spark.conf.unset(PREFIX + name)
+                else:
+                    self._spark.conf.set(PREFIX + name, value)
+
     def table(self) -> DataFrame:
         """(name, value, description) of all options."""
         rows = [(n, None if (v := self.get(n)) is None else str(v), o.about) for n, o in OPTIONS.items()]

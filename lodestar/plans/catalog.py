@@ -71,7 +71,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "filter_prune_columns": "select sum(l_quantity) as q from {lineitem} where l_orderkey < 5000",
     "filter_only_count": "select count(*) as n from {lineitem} where l_shipdate is not null and l_quantity > 25",
     "filter_timestamp": ("select o_orderkey from {orders} where o_orderdate >= timestamp_ntz'1996-01-01 00:00:00'", "select o_orderkey from {orders} where o_orderdate >= timestamp'1996-01-01 00:00:00'"),
-    "filter_cast_unwrap": "select o_orderkey from {orders} where cast(o_orderkey as bigint) < 60",
+    "filter_cast_unwrap": "select n_nationkey, n_name from {nation} where cast(n_nationkey as bigint) < 7",
     # Aggregates
     "agg_count_star": "select count(*) as n from {lineitem}",
     "agg_count_col": "select count(l_orderkey) as n, count(l_returnflag) as m from {lineitem}",
@@ -95,7 +95,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "except_all_filtered": "select o_orderkey, o_orderstatus from {orders} except all select o_orderkey, o_orderstatus from {orders} where o_orderstatus = 'F'",
     "scalar_subquery": "select (select count(*) from {orders}) as o, (select count(*) from {lineitem}) as l, (select max(o_orderkey) from {orders}) - (select min(o_orderkey) from {orders}) as d",
     "derived_table": "select k, n from (select o_custkey as k, count(*) as n from {orders} group by o_custkey) as t where n > 15",
-    "exists_subquery": "select c_custkey from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey)",
+    "exists_subquery": "select c_custkey from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey and o_orderstatus = 'F' and o_totalprice > 250000)",
     # Expressions
     "expr_casts": "select o_orderkey, cast(o_orderkey as int) as i, cast(o_orderkey as varchar(20)) as s, cast(o_custkey as double) as d, cast(cast(o_totalprice as decimal(38,2)) as double) as m from {orders}",
     "expr_arith": ("select o_orderkey, o_orderkey + 3 as a, o_orderkey * 2 as m, cast(o_orderkey % 7 as bigint) as r, cast((o_orderkey - 100) div 7 as bigint) as d from {orders}", "select o_orderkey, o_orderkey + 3 as a, o_orderkey * 2 as m, cast(o_orderkey % 7 as bigint) as r, cast((o_orderkey - 100) // 7 as bigint) as d from {orders}"),
@@ -106,7 +106,10 @@ SQL: dict[str, str | tuple[str, str]] = {
     # What the host engine gives, not the scan
     "host_left_join": "select c_custkey, count(o_orderkey) as n from {customer} left join {orders} on c_custkey = o_custkey group by c_custkey",
     "host_semi_join": ("select c_custkey, c_name from {customer} left semi join {orders} on c_custkey = o_custkey", "select c_custkey, c_name from {customer} where c_custkey in (select o_custkey from {orders})"),
-    "host_anti_join": ("select c_custkey, c_name from {customer} left anti join {orders} on c_custkey = o_custkey", "select c_custkey, c_name from {customer} where c_custkey not in (select o_custkey from {orders})"),
+    "host_anti_join": (
+        "select c_custkey, c_name from {customer} left anti join {orders} on c_custkey = o_custkey and o_orderpriority = '1-URGENT'",
+        "select c_custkey, c_name from {customer} where c_custkey not in (select o_custkey from {orders} where o_orderpriority = '1-URGENT')",
+    ),
     "host_union_all": "select n_name as name from {nation} union all select r_name from {region}",
     "host_intersect_all": "select o_custkey from {orders} intersect all select c_custkey from {customer} where c_custkey % 3 = 0",
     "host_window_rank": ("select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from {orders}", "select o_orderkey, o_custkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as int) as r from {orders}"),
@@ -139,37 +142,37 @@ def topk_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), 30, F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
 
 
-def _with(spark: SparkSession, values: dict[str, object], run: Callable[[], DataFrame]) -> DataFrame:
-    settings = Settings(spark)
-    for k, v in values.items():
-        settings.set(k, v)
-    try:
-        return run()
-    finally:
-        for k in values:
-            settings.reset(k)
+def _now(df: DataFrame) -> DataFrame:
+    """A few rows, computed while the settings of the moment hold."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def cast_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with(spark, {"cast_pushdown": True}, lambda: narrow(spark, f"{sf_dir}/lineitem.parquet", "l_orderkey", "int").select("l_orderkey", "l_linenumber"))
+    with Settings(spark).held({"cast_pushdown": True}):
+        return narrow(spark, f"{sf_dir}/lineitem.parquet", "l_orderkey", "int").select("l_orderkey", "l_linenumber")
 
 
 def cast_narrow_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _with(spark, {"cast_pushdown": True}, lambda: narrow(spark, f"{sf_dir}/lineitem.parquet", "l_orderkey", "int"))
-    return lines.join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    with Settings(spark).held({"cast_pushdown": True}):
+        lines = narrow(spark, f"{sf_dir}/lineitem.parquet", "l_orderkey", "int")
+    joined = lines.join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 def narrow_transfer_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with(spark, {"narrow_transfer": True}, lambda: _table(spark, sf_dir, "lineitem").agg(F.sum("l_orderkey").alias("s"), F.count("*").alias("n")))
+    with Settings(spark).held({"narrow_transfer": True}):
+        return _now(_table(spark, sf_dir, "lineitem").agg(F.sum("l_orderkey").alias("s"), F.count("*").alias("n")))
 
 
 def settings_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same count under each value of each setting."""
-    tried = [("default", {}), ("prefetch_depth=0", {"prefetch_depth": 0}), ("prefetch_depth=8", {"prefetch_depth": 8}), ("scheduler_queue_depth=1", {"scheduler_queue_depth": 1}), ("scheduler_num_streams=1", {"scheduler_num_streams": 1}), ("enable_yield=false", {"enable_yield": False}), ("narrow_transfer=true", {"narrow_transfer": True})]
+    tried: list[dict[str, object]] = [{}, {"prefetch_depth": 0}, {"prefetch_depth": 8}, {"scheduler_queue_depth": 1}, {"scheduler_num_streams": 1}, {"enable_yield": False}, {"narrow_transfer": True}]
     out = None
-    for name, values in tried:
-        one = _with(spark, values, lambda: _table(spark, sf_dir, "orders").where("o_orderkey >= 4096").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("s")))
-        one = one.select(F.lit(name).alias("setting"), "n", "s")
+    for values in tried:
+        name = ",".join(f"{k}={str(v).lower()}" for k, v in values.items()) or "default"
+        with Settings(spark).held(values):
+            orders = _table(spark, sf_dir, "orders").where("o_orderkey >= 4096")
+            one = _now(orders.agg(F.count("*").alias("n"), F.sum("o_custkey").alias("s"))).select(F.lit(name).alias("setting"), "n", "s")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -197,6 +200,16 @@ def footer_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, cardinality(spark, f"{sf_dir}/{t}.parquet")) for t in ("customer", "orders", "lineitem")], "name string, n long")
 
 
+def footer_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, bounds and a proven cast over a table in folders by one of its columns."""
+    path = f"{shared_folder(spark)}/partitioned-{uuid.uuid4().hex}"
+    _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(3).write.partitionBy("o_orderstatus").parquet(path)
+    bounds = footer.footer_agg(spark, path, "o_custkey", low=10, high=1000)
+    with Settings(spark).held({"cast_pushdown": True}):
+        cast = narrow(spark, path, "o_orderkey", "int").agg(F.sum("o_orderkey").alias("keys"))
+    return bounds.crossJoin(cast).withColumn("n_all", F.lit(cardinality(spark, path)).cast("long"))
+
+
 def agg_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregating_scan(spark, f"{sf_dir}/lineitem.parquet").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi"))
 
@@ -210,7 +223,8 @@ def hosted_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hosted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with(spark, {"hosted_root": sf_dir}, lambda: scan(spark, "hosted://supplier.parquet").select("s_suppkey", "s_name"))
+    with Settings(spark).held({"hosted_root": sf_dir}):
+        return scan(spark, "hosted://supplier.parquet").select("s_suppkey", "s_name")
 
 
 def scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,6 +256,7 @@ FUNCTIONS: dict[str, tuple[Q, str | None]] = {
     "footer_agg_minmax": (footer_agg_minmax, "select count(o_orderkey) as n_rows, min(o_orderkey) as min_value, max(o_orderkey) as max_value from orders"),
     "footer_agg_filtered": (footer_agg_filtered, "select count(o_orderkey) as n_rows, min(o_orderkey) as min_value, max(o_orderkey) as max_value from orders where o_orderkey between 100 and 5000"),
     "footer_cardinality": (footer_cardinality, "select 'customer' as name, count(*) as n from customer union all select 'orders', count(*) from orders union all select 'lineitem', count(*) from lineitem"),
+    "footer_partitioned": (footer_partitioned, "select count(*) filter (where o_custkey between 10 and 1000) as n_rows, min(o_custkey) filter (where o_custkey between 10 and 1000) as min_value, max(o_custkey) filter (where o_custkey between 10 and 1000) as max_value, cast(sum(o_orderkey) as bigint) as keys, count(*) as n_all from orders"),
     "agg_pushdown": (agg_pushdown, "select count(*) as n, min(l_orderkey) as lo, max(l_orderkey) as hi from lineitem"),
     "scan_batch_index": (scan_batch_index, 'select count(*) as n, cast(0 as bigint) as "first", count(*) - 1 as "last" from orders'),
     "hosted_catalog": (hosted_catalog, None),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ HANDSHAKE_BYTES, CYCLE_NS = 64, 4
 # The profile's columns, in order.
 COLUMNS = "stream long, in_handshakes_cycles long, in_starved_cycles long, in_stalled_cycles long, in_idle_cycles long, in_last_handshakes long, out_handshakes_cycles long, out_starved_cycles long, out_stalled_cycles long, out_idle_cycles long, out_last_handshakes long, in_throughput_gbps double, in_throughput_excl_idle_gbps double, out_throughput_gbps double, out_throughput_excl_idle_gbps double"
 
-_LAST: dict[str, list[tuple[int, int, int, int]]] = {}
+VECTORED = "parquet.hadoop.vectored.io.enabled"
+#: By application: (bytes read, milliseconds of its tasks, tasks) of each stage of the last measured query that read files.
+_LAST: dict[str, list[tuple[int, int, int]]] = {}
 
 
 def _nodes(plan) -> Iterator:  # noqa: ANN001
@@ -31,8 +34,21 @@ def _nodes(plan) -> Iterator:  # noqa: ANN001
 
 def run_measured(df: DataFrame) -> list[tuple[str, dict[str, int]]]:
     """Run a query for its metrics: (operator, its metrics by name) of every node."""
+    spark = df.sparkSession
+    sc, tag = spark.sparkContext, f"lodestar-{uuid.uuid4().hex}"
     execution = df._jdf.queryExecution()
-    execution.toRdd().count()
+    # Vectored reads happen in threads whose bytes no task's counter sees.
+    held = spark.conf.get(VECTORED, None)
+    spark.conf.set(VECTORED, "false")
+    sc.addJobTag(tag)
+    try:
+        execution.toRdd().count()
+    finally:
+        sc.removeJobTag(tag)
+        if held is None:
+            spark.conf.unset(VECTORED)
+        else:
+            spark.conf.set(VECTORED, held)
     out = []
     for node in _nodes(execution.executedPlan()):
         metrics, found = node.metrics(), {}
@@ -41,10 +57,21 @@ def run_measured(df: DataFrame) -> list[tuple[str, dict[str, int]]]:
             key = keys.next()
             found[key] = max(0, metrics.apply(key).value())
         out.append((node.nodeName(), found))
-    spark = df.sparkSession
-    _LAST[spark.sparkContext.applicationId] = [
-        (m.get("filesSize", 0), m.get("scanTime", 0), m.get("numOutputRows", 0), m.get("numFiles", 0)) for name, m in out if name.startswith(("Scan", "BatchScan"))
-    ]
+    _LAST[sc.applicationId] = _stages_read(spark, tag)
+    return out
+
+
+def _stages_read(spark: SparkSession, tag: str) -> list[tuple[int, int, int]]:
+    """What the stages of the jobs with a tag read, by their tasks' own counters."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    store, out = context.statusStore(), []
+    for job in sorted(context.statusTracker().getJobIdsForTag(tag)):
+        stages = store.job(job).stageIds()
+        for i in range(stages.size()):
+            stage = store.lastStageAttempt(stages.apply(i))
+            if stage.inputBytes() > 0:
+                out.append((stage.inputBytes(), stage.executorRunTime(), stage.numCompleteTasks()))
     return out
 
 
@@ -60,19 +87,20 @@ def throughput(handshakes: int, cycles: int) -> float:
 
 
 def scan_profile(spark: SparkSession) -> DataFrame:
-    """A row for each scan of the last measured query, and a last one for reads that bypass decoding, whose in_ columns are null.
+    """A row for each stage of the last measured query that read files, and a last one for reads that bypass decoding, of which Spark has none.
 
-    Spark has no counters of cycles: handshakes are bytes read over 64, busy cycles the scan's time over 4 ns but
-    no fewer than its handshakes, and idle, starved and stalled ones are 0.
+    Handshakes are the bytes that the stage's tasks really read, over 64; the throughput without idle time is that
+    of the tasks' time. Spark knows nothing of cycles that starved, stalled or idled, nor of what decoders hand on:
+    those columns are null.
     """
-    rows = []
     scans = _LAST.get(spark.sparkContext.applicationId, [])
-    for stream, (size, ms, _, files) in enumerate(scans):
+    rows: list[tuple] = []
+    for stream, (size, ms, tasks) in enumerate(scans):
         hands = -(-size // HANDSHAKE_BYTES)
-        starved = max(0, ms * 1_000_000 // CYCLE_NS - hands)
-        rate, busy = throughput(hands, hands + starved), throughput(hands, hands + starved)
-        rows.append((stream, hands, starved, 0, 0, files, hands, starved, 0, 0, files, rate, busy, rate, busy))
-    rows.append((len(scans), None, None, None, None, None, 0, 0, 0, 0, 0, None, None, 0.0, 0.0))
+        # No stream moves more than a handshake a cycle.
+        cycles = max(hands, ms * 1_000_000 // CYCLE_NS)
+        rows.append((stream, hands, None, None, None, tasks, *[None] * 5, throughput(hands, cycles), throughput(hands, cycles), None, None))
+    rows.append((len(scans), *[None] * 5, 0, 0, 0, 0, 0, None, None, 0.0, 0.0))
     return spark.createDataFrame(rows, COLUMNS)
 
 

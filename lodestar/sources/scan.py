@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.settings import Settings
 from lodestar.sources import hosted
-from lodestar.sources.footer import RANGES, data_files, read_footer, validate
-
-_CALL = re.compile(r"\bread_scan\s*\(\s*'((?:[^']|'')*)'\s*\)", re.I)
-_PROFILE = re.compile(r"\bscan_profile\s*\(\s*\)", re.I)
+from lodestar.sources.footer import RANGES, proves, row_count, validate
+
+#: What a call may not be looked for in (a literal, a quoted name, a comment), or a call.
+_TOKEN = re.compile(
+    r"""'(?:[^'\\]|\\.|'')*' | "(?:[^"\\]|\\.|"")*" | `(?:[^`]|``)*` | --[^\n]* | /\*.*?\*/
+    | \b(?P<scan>read_scan)\s*\(\s*'(?P<path>(?:[^']|'')*)'\s*\) | \b(?P<profile>scan_profile)\s*\(\s*\)""",
+    re.I | re.S | re.X,
+)
 _SPARK_TYPE = {"utinyint": "smallint", "usmallint": "int", "uint": "bigint"}
+#: Bytes of the integer types.
+_WIDTH = {"tinyint": 1, "utinyint": 1, "smallint": 2, "usmallint": 2, "int": 4, "uint": 4, "bigint": 8}
 
 
 def scan(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -26,32 +32,38 @@ def scan(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     if path.startswith(hosted.SCHEME):
         path = hosted.resolve(spark, path)
     if strict:
-        for p in data_files(spark, path):
-            validate(read_footer(spark, p))
-    return spark.read.parquet(path)
+        validate(spark, path)
+    df = spark.read.parquet(path)
+    streams = Settings(spark).get("scheduler_num_streams")
+    # A set number of streams bounds the scan's tasks; filters and projections still reach the files below it.
+    return df.coalesce(streams) if streams else df
 
 
 def sql(spark: SparkSession, text: str, strict: bool = False) -> DataFrame:
     """SQL in which `read_scan('path')` is a table and `scan_profile()` the last scan's profile.
 
     A call becomes Spark's own file relation, so all push-downs hold, as they would not through a table function.
+    Literals, quoted names and comments are left as they are.
     """
+    streams = Settings(spark).get("scheduler_num_streams")
 
     def table(m: re.Match) -> str:
-        path = m[1].replace("''", "'")
+        if m["profile"]:
+            from lodestar.plans.profile import scan_profile
+
+            scan_profile(spark).createOrReplaceTempView("_scan_profile")
+            return "_scan_profile"
+        if not m["scan"]:
+            return m[0]
+        path = m["path"].replace("''", "'")
         if path.startswith(hosted.SCHEME):
             path = hosted.resolve(spark, path)
         if strict:
-            for p in data_files(spark, path):
-                validate(read_footer(spark, p))
-        return "parquet.`" + path.replace("`", "``") + "`"
-
-    if _PROFILE.search(text):
-        from lodestar.plans.profile import scan_profile
+            validate(spark, path)
+        relation = "parquet.`" + path.replace("`", "``") + "`"
+        return f"(select /*+ coalesce({streams}) */ * from {relation})" if streams else relation
 
-        scan_profile(spark).createOrReplaceTempView("_scan_profile")
-        text = _PROFILE.sub("_scan_profile", text)
-    return spark.sql(_CALL.sub(table, text))
+    return spark.sql(_TOKEN.sub(table, text))
 
 
 def describe(df: DataFrame) -> DataFrame:
@@ -62,12 +74,17 @@ def describe(df: DataFrame) -> DataFrame:
 def narrow(spark: SparkSession, path: str, column: str, kind: str, settings: Settings | None = None) -> DataFrame:
     """The scan with an integer column cast to a narrower type, where the cast setting is on and every row group proves that it fits.
 
-    Else the scan as it is: a cast that isn't proven is left to the query, where an overflow raises.
+    Else the scan as it is: a type that isn't narrower, or a cast that isn't proven, is left to the query, where an
+    overflow raises.
     """
     df = scan(spark, path)
     if kind not in RANGES:
         raise ValueError(f"unknown integer type {kind}")
-    if (settings or Settings(spark)).get("cast_pushdown") and dict(df.dtypes)[column] in ("bigint", "int", "smallint") and all(read_footer(spark, p).fits(column, kind) for p in data_files(spark, path)):
+    source = dict(df.dtypes)[column]
+    if path.startswith(hosted.SCHEME):
+        path = hosted.resolve(spark, path)
+    wanted = (settings or Settings(spark)).get("cast_pushdown") and source in ("bigint", "int", "smallint") and _WIDTH[kind] < _WIDTH[source]
+    if wanted and proves(spark, path, column, kind):
         return df.withColumn(column, F.col(column).cast(_SPARK_TYPE.get(kind, kind)))
     return df
 
@@ -88,7 +105,7 @@ def aggregating_scan(spark: SparkSession, path: str) -> DataFrame:
 
 def cardinality(spark: SparkSession, path: str) -> int:
     """Rows by the footers alone."""
-    return sum(read_footer(spark, p).rows for p in data_files(spark, path))
+    return row_count(spark, path)
 
 
 def write_table(df: DataFrame, path: str, codec: str = "snappy", rows_per_group: int | None = None, mode: str = "errorifexists") -> None:

@@ -26,6 +26,8 @@ def files(tmp_path_factory):
     pq.ParquetWriter(d / "empty.parquet", pa.schema([("a", pa.int32())])).close()
     pq.write_table(pa.table({"n": pa.array([1, None, 3, None, 2**40]), "t": pa.array([True, None, False, True, None])}), d / "nulls.parquet", row_group_size=2)
     pq.write_table(pa.table({"x": pa.array([1, 2, 3])}), d / "nostats.parquet", write_statistics=False)
+    # Groups that fit 32 bits one by one, but for the last of x.
+    pq.write_table(pa.table({"x": pa.array([1, 2, -3, 4, 2**31, 5]), "y": pa.array([1, 2, -3, 4, 2**31 - 1, -(2**31)])}), d / "groups.parquet", row_group_size=2)
     return d
 
 
@@ -114,6 +116,9 @@ def test_narrow(spark, files):
     assert dict(narrow(spark, path, "b", "int").dtypes)["b"] == "bigint"
     s.set("cast_pushdown", True)
     assert dict(narrow(spark, path, "b", "smallint").dtypes)["b"] == "smallint"
+    assert dict(narrow(spark, path, "a", "bigint").dtypes)["a"] == "int" and dict(narrow(spark, path, "a", "uint").dtypes)["a"] == "int"
+    groups = str(files / "groups.parquet")
+    assert dict(narrow(spark, groups, "x", "int").dtypes)["x"] == "bigint" and dict(narrow(spark, groups, "y", "int").dtypes)["y"] == "int"
     assert dict(narrow(spark, path, "d", "tinyint").dtypes)["d"] == "bigint"
     assert dict(narrow(spark, str(files / "nulls.parquet"), "n", "int").dtypes)["n"] == "bigint"
     assert dict(narrow(spark, str(files / "nostats.parquet"), "x", "int").dtypes)["x"] == "bigint"
@@ -145,7 +150,7 @@ def test_hosted(spark, files, tmp_path):
     s.set("hosted_root", str(files))
     assert scan(spark, "hosted://ints.parquet").count() == 1000
     assert sql(spark, "select count(*) from read_scan('hosted://ints.parquet')").first()[0] == 1000
-    assert hosted.glob(spark, "hosted://*s.parquet") == ["ints.parquet", "nostats.parquet", "nulls.parquet", "strings.parquet"]
+    assert hosted.glob(spark, "hosted://*s.parquet") == ["groups.parquet", "ints.parquet", "nostats.parquet", "nulls.parquet", "strings.parquet"]
     with pytest.raises(hosted.HostedError, match="not found in hosted directory"):
         scan(spark, "hosted://none.parquet")
     with pytest.raises(hosted.HostedError, match="read-only"):
@@ -155,12 +160,124 @@ def test_hosted(spark, files, tmp_path):
     with pytest.raises(hosted.HostedError, match="duplicate"):
         hosted.catalog(spark, [str(files), str(tmp_path)])
     rows = hosted.catalog(spark, [str(files)]).collect()
-    assert [r["name"] for r in rows] == sorted(r["name"] for r in rows) and rows[1]["offset"] == rows[0]["size"]
-    entries = [("a.parquet", 0, 10), ("é.parquet", 10, 5)]
-    assert hosted.parse_directory(hosted.pack_directory(entries)) == entries
-    for cut in (4, 20, 40):
+    assert [r["name"] for r in rows] == sorted(r["name"] for r in rows) and rows[1]["offset"] == rows[0]["offset"] + rows[0]["size"]
+    assert rows[0]["offset"] == hosted.directory_size([r["name"] for r in rows])
+
+
+def test_directory_bytes():
+    # Written out by hand: the size field counts itself, offsets are those in the region.
+    raw = bytes.fromhex("42000000000000000900000000000000612e7061727175657442000000000000000a00000000000000") + bytes.fromhex("0100000000000000624c000000000000000500000000000000")
+    assert len(raw) == 66
+    entries = [("a.parquet", 66, 10), ("b", 76, 5)]
+    assert hosted.pack_directory(entries) == raw and hosted.parse_directory(raw + b"files") == entries
+    assert hosted.parse_directory((8).to_bytes(8, "little")) == [] and hosted.pack_directory([]) == (8).to_bytes(8, "little")
+    for cut in (4, 20, 65):
         with pytest.raises(hosted.HostedError, match="truncated"):
-            hosted.parse_directory(hosted.pack_directory(entries)[:cut])
+            hosted.parse_directory(raw[:cut])
+    with pytest.raises(hosted.HostedError, match="name/offset/size"):
+        hosted.parse_directory((64).to_bytes(8, "little") + raw[8:])
+
+
+def test_hosted_file(spark, files, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "x.parquet").write_bytes(b"0123456789")
+    with Settings(spark).held({"hosted_root": str(tmp_path)}):
+        assert hosted.glob(spark, "hosted://*") == ["deep/x.parquet"]
+        f = hosted.HostedFile(spark, "hosted://deep/x.parquet")
+        assert f.size == 10 and abs(f.modified - (tmp_path / "deep" / "x.parquet").stat().st_mtime) < 2
+        assert f.read_at(3, 4) == b"456" and f.read(4) == b"0123" and f.tell() == 4
+        f.seek(8)
+        assert f.read(100) == b"89" and f.read(1) == b"" and f.read_at(0, 10) == b""
+        for bad, text in ((lambda: f.read(-1), "negative"), (lambda: f.read_at(-1, 0), "negative"), (lambda: f.read_at(5, 6), "past end"), (lambda: f.seek(11), "seek past end")):
+            with pytest.raises(hosted.HostedError, match=text):
+                bad()
+        f.close()
+    assert Settings(spark).get("hosted_root") is None
+
+
+def test_partitioned_folders(spark, tmp_path):
+    path = str(tmp_path / "t é%20x")
+    spark.range(1000).selectExpr("id * 10000000 as v", "id as n", "id % 3 as k").repartition(6).write.partitionBy("k").parquet(path)
+    assert len(footer.data_files(spark, path)) > footer.DRIVER_FILES
+    assert cardinality(spark, path) == 1000 and scan(spark, path, strict=True).count() == 1000
+    assert one(footer.footer_agg(spark, path, "n")) == (1000, 0, 999)
+    assert one(footer.footer_agg(spark, path, "n", 5, 700)) == (696, 5, 700)
+    assert one(footer.footer_agg(spark, path, "k", 1)) == (666, 1, 2)
+    assert footer.rowgroup_stats(spark, path).agg({"num_rows": "sum"}).first()[0] == 2000
+    with Settings(spark).held({"cast_pushdown": True}):
+        assert dict(narrow(spark, path, "v", "int").dtypes)["v"] == "bigint"
+        assert dict(narrow(spark, path, "n", "smallint").dtypes)["n"] == "smallint"
+    pq.write_table(pa.table({"v": [1], "n": [1]}), path + "/k=1/z.parquet", compression="zstd")
+    with pytest.raises(footer.ScanError, match="codec ZSTD"):
+        scan(spark, path, strict=True)
+
+
+@pytest.mark.parametrize(
+    ("kind", "values", "where", "count"),
+    [(pa.int8(), [-128, 0, 127, None], "x > 0", 1), (pa.int16(), [-(2**15), 5, 2**15 - 1, None], "x < 6", 2), (pa.uint8(), [0, 255, 3, None], "x >= 3", 2), (pa.uint16(), [0, 65535, 7, None], "x = 65535", 1), (pa.uint32(), [0, 2**32 - 1, 7, None], "x > 7", 1)],
+)
+def test_integer_widths(spark, tmp_path, kind, values, where, count):
+    pq.write_table(pa.table({"x": pa.array(values, kind)}), tmp_path / "w.parquet")
+    df = scan(spark, str(tmp_path / "w.parquet"), strict=True)
+    assert df.where(where).count() == count and df.where("x is null").count() == 1
+
+
+def test_other_types(spark, tmp_path):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    pq.write_table(pa.table({"d": [date(2020, 1, 2), None], "t": [datetime(2020, 1, 2, 3), None], "m": pa.array([Decimal("1.25"), None], pa.decimal128(9, 2)), "l": [[1, 2], None], "s": [{"a": 1, "b": "x"}, None], "p": pa.array([[("k", 1)], None], pa.map_(pa.string(), pa.int64()))}), tmp_path / "o.parquet")
+    df = scan(spark, str(tmp_path / "o.parquet"))
+    assert df.where("d = date'2020-01-02' and m = 1.25 and l[1] = 2 and s.b = 'x' and p['k'] = 1").count() == 1
+    assert df.where("d is null and t is null and l is null and s is null and p is null").count() == 1
+
+
+def test_calls_in_literals_and_comments(spark, files):
+    text = f"select 'read_scan(''x'')' as a, \"scan_profile()\" as b, count(*) as n -- read_scan('none')\n from /* read_scan('no') */ read_scan('{files}/ints.parquet')"
+    assert tuple(sql(spark, text).first()) == ("read_scan('x')", "scan_profile()", 1000)
+
+
+def test_streams_bound_the_scan(spark, files):
+    with Settings(spark).held({"scheduler_num_streams": 1}):
+        assert scan(spark, str(files)+"/*s.parquet").rdd.getNumPartitions() == 1
+        df = sql(spark, f"select a from read_scan('{files}/ints.parquet') where b > 6986")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Coalesce 1" in plan and "GreaterThan(b,6986)" in plan and df.count() == 1
+
+
+def test_runtime_join_filter_in_the_plan(spark, tmp_path):
+    spark.range(200_000).selectExpr("id as k", "id % 7 as v").write.parquet(str(tmp_path / "big"))
+    spark.range(200_000).selectExpr("id as k", "id % 1000 as w").write.parquet(str(tmp_path / "small"))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df = sql(spark, f"select count(*) as n, sum(v) as s from read_scan('{tmp_path}/big') join read_scan('{tmp_path}/small') using (k) where w = 3")
+        assert "might_contain" in df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.first()["n"] == 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_progress_of_a_running_query(spark):
+    import threading
+    import time
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(0.8)
+            yield b
+
+    run = threading.Thread(target=lambda: spark.range(0, 16, 1, 16).mapInArrow(slow, "id long").count())
+    seen = []
+    run.start()
+    while run.is_alive():
+        seen.append(profile.progress(spark))
+        time.sleep(0.05)
+    run.join()
+    assert any(0 < p < 100 for p in seen) and all(0 <= p <= 100 for p in seen) and profile.progress(spark) == 100
 
 
 def test_write_groups_and_index(spark, files, tmp_path):
@@ -174,6 +291,14 @@ def test_write_groups_and_index(spark, files, tmp_path):
 
 def test_profile(spark, files):
     profile.run_measured(scan(spark, str(files / "mixed_small.parquet")).where("c_int32 > 5"))
+    assert [r["in_handshakes_cycles"] for r in sql(spark, "select * from scan_profile()").collect()][0] > 0
+    # One of eight columns' bytes are read, not the file's.
+    wide = str(files / "mixed_small.parquet")
+    narrowed, whole = [], []
+    for cols, into in ((["c_int32"], narrowed), (["c_int32", "c_int64", "c_float", "c_double"], whole)):
+        profile.run_measured(scan(spark, wide).select(*cols))
+        into.append(sql(spark, "select sum(in_handshakes_cycles) from scan_profile()").first()[0])
+    assert narrowed[0] < 0.6 * whole[0] and whole[0] * 64 <= 1.2 * (files / "mixed_small.parquet").stat().st_size
     rows = sql(spark, "select * from scan_profile()").collect()
     assert len(rows[0]) == 15 and rows[-1]["in_handshakes_cycles"] is None and [r["stream"] for r in rows] == list(range(len(rows)))
     for r in rows[:-1]:
