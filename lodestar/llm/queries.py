@@ -129,7 +129,7 @@ ORACLE: dict[str, str] = {
         from p join best using (h) join (select page_id, url from pages) using (page_id)""",
     "op8_line_dedup": r"""
         with lines as (select doc_id, source, pos, l[pos] as line from (select doc_id, coalesce(source, chr(0)) as source, string_split(text, chr(10)) as l from documents), unnest(range(1, len(l) + 1)) as t(pos)),
-        wide as (select line from lines where trim(line, ' ') <> '' group by line having count(distinct source) >= 5),
+        wide as (select line from lines where trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' group by line having count(distinct source) >= 5),
         marked as (select lines.*, wide.line is not null as gone from lines left join wide using (line)),
         per as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, string_agg(line, chr(10) order by pos) filter (where not gone) as kept from marked group by doc_id)
         select doc_id, coalesce(n_lines, 1) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join per using (doc_id)""",
