@@ -189,12 +189,17 @@ def near_components(docs: DataFrame, size: int, percent: int, block_nodes: int =
     linkable = known.where("digest is not null and doc_id is not null")
     sets = staged(linkable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "sets")
 
+    # One edge for a node and a band, to the band's smallest node; a full bucket's centre is broadcast, so its rows stay spread.
     keys = sets.select("node", F.explode("bands").alias("key"))
-    centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = components(keys.join(centres, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
-    sized = near.join(sets.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node")
-    blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
-    members = staged(sized.join(blocks, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
+    centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    met = attach(keys, centres, "key", "n", BANDS * sets.count()).where("node <> centre")
+    near = components(met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
+
+    sized = staged(near.join(sets.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node"), "sized")
+    of_nodes, of_shingles = F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_shingles") / block_shingles)
+    blocks = sized.groupBy("root").agg(F.greatest(of_nodes, of_shingles).cast("int").alias("blocks"), F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    members = staged(attach(sized, blocks, "root", "n").select("node", "root", "blocks", block), "members")
 
     # Always a merge join: a broadcast of small member tables would not stand for what happens at scale.
     texts = docs.join(members.hint("merge"), docs["doc_id"] == members["node"]).select("root", "block", "blocks", "node", "text")
