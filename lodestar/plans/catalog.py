@@ -46,8 +46,14 @@ SQL: dict[str, str | tuple[str, str]] = {
     "scan_projection_reorder": "select l_tax, l_discount, l_orderkey from {lineitem}",
     "scan_duplicate_column": "select l_orderkey as a, l_orderkey as b from {lineitem}",
     "scan_string_only": "select count(c_name) as n, count(distinct c_mktsegment) as d, min(c_name) as lo, max(c_name) as hi from {customer}",
-    "scan_fixed_only": ("select sum(l_orderkey) as s_key, sum(l_linenumber) as s_line, sum(l_quantity) as s_qty from {lineitem}", "select cast(sum(l_orderkey) as bigint) as s_key, cast(sum(l_linenumber) as bigint) as s_line, sum(l_quantity) as s_qty from {lineitem}"),
-    "scan_nested": ("select vec_id, size(embedding) as n, element_at(embedding, 1) as head from {embeddings}", "select vec_id, cast(len(embedding) as int) as n, embedding[1] as head from {embeddings}"),
+    "scan_fixed_only": (
+        "select sum(l_orderkey) as s_key, sum(l_linenumber) as s_line, sum(l_quantity) as s_qty from {lineitem}",
+        "select cast(sum(l_orderkey) as bigint) as s_key, cast(sum(l_linenumber) as bigint) as s_line, sum(l_quantity) as s_qty from {lineitem}",
+    ),
+    "scan_nested": (
+        "select vec_id, size(embedding) as n, element_at(embedding, 1) as head from {embeddings}",
+        "select vec_id, cast(len(embedding) as int) as n, embedding[1] as head from {embeddings}",
+    ),
     "scan_no_column": "select count(*) as n from (select 1 as one from {events})",
     # Filters
     "filter_eq": "select * from {orders} where o_orderkey = 77",
@@ -70,18 +76,27 @@ SQL: dict[str, str | tuple[str, str]] = {
     "filter_mixed_string_numeric": "select l_orderkey, l_linenumber from {lineitem} where l_returnflag = 'R' and l_quantity > 45",
     "filter_prune_columns": "select sum(l_quantity) as q from {lineitem} where l_orderkey < 5000",
     "filter_only_count": "select count(*) as n from {lineitem} where l_shipdate is not null and l_quantity > 25",
-    "filter_timestamp": ("select o_orderkey from {orders} where o_orderdate >= timestamp_ntz'1996-01-01 00:00:00'", "select o_orderkey from {orders} where o_orderdate >= timestamp'1996-01-01 00:00:00'"),
+    "filter_timestamp": (
+        "select o_orderkey from {orders} where o_orderdate >= timestamp_ntz'1996-01-01 00:00:00'",
+        "select o_orderkey from {orders} where o_orderdate >= timestamp'1996-01-01 00:00:00'",
+    ),
     "filter_cast_unwrap": "select n_nationkey, n_name from {nation} where cast(n_nationkey as bigint) < 7",
     # Aggregates
     "agg_count_star": "select count(*) as n from {lineitem}",
     "agg_count_col": "select count(l_orderkey) as n, count(l_returnflag) as m from {lineitem}",
     "agg_sum_one": ("select sum(1) as n from {lineitem}", "select cast(sum(1) as bigint) as n from {lineitem}"),
-    "agg_sum_min_max": ("select sum(l_orderkey) as s, min(l_orderkey) as lo, max(l_orderkey) as hi, min(l_extendedprice) as plo, max(l_extendedprice) as phi from {lineitem}", "select cast(sum(l_orderkey) as bigint) as s, min(l_orderkey) as lo, max(l_orderkey) as hi, min(l_extendedprice) as plo, max(l_extendedprice) as phi from {lineitem}"),
+    "agg_sum_min_max": (
+        "select sum(l_orderkey) as s, min(l_orderkey) as lo, max(l_orderkey) as hi, min(l_extendedprice) as plo, max(l_extendedprice) as phi from {lineitem}",
+        "select cast(sum(l_orderkey) as bigint) as s, min(l_orderkey) as lo, max(l_orderkey) as hi, min(l_extendedprice) as plo, max(l_extendedprice) as phi from {lineitem}",
+    ),
     "agg_decimal_sum": "select cast(sum(cast(l_extendedprice as decimal(12,2))) as double) as s from {lineitem}",
     "agg_string_minmax": "select min(p_name) as lo, max(p_name) as hi, min(p_type) as tlo from {part}",
     "agg_count_distinct": "select count(distinct l_suppkey) as suppliers, count(distinct l_partkey) as parts from {lineitem}",
     "agg_filter_clause": "select count(*) filter (where l_quantity > 30) as n, count(*) filter (where l_returnflag = 'N') as r, count(*) as a from {lineitem}",
-    "agg_group_expr": ("select cast(l_orderkey div 1000 as bigint) as k, count(*) as n from {lineitem} group by l_orderkey div 1000", "select cast(l_orderkey // 1000 as bigint) as k, count(*) as n from {lineitem} group by l_orderkey // 1000"),
+    "agg_group_expr": (
+        "select cast(l_orderkey div 1000 as bigint) as k, count(*) as n from {lineitem} group by l_orderkey div 1000",
+        "select cast(l_orderkey // 1000 as bigint) as k, count(*) as n from {lineitem} group by l_orderkey // 1000",
+    ),
     "agg_group_string": "select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as q from {lineitem} group by l_returnflag, l_linestatus order by l_returnflag, l_linestatus",
     # Order and limit
     "topk_asc": "select o_orderkey, o_totalprice from {orders} order by o_totalprice, o_orderkey limit 20",
@@ -98,21 +113,33 @@ SQL: dict[str, str | tuple[str, str]] = {
     "exists_subquery": "select c_custkey from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey and o_orderstatus = 'F' and o_totalprice > 250000)",
     # Expressions
     "expr_casts": "select o_orderkey, cast(o_orderkey as int) as i, cast(o_orderkey as varchar(20)) as s, cast(o_custkey as double) as d, cast(cast(o_totalprice as decimal(38,2)) as double) as m from {orders}",
-    "expr_arith": ("select o_orderkey, o_orderkey + 3 as a, o_orderkey * 2 as m, cast(o_orderkey % 7 as bigint) as r, cast((o_orderkey - 100) div 7 as bigint) as d from {orders}", "select o_orderkey, o_orderkey + 3 as a, o_orderkey * 2 as m, cast(o_orderkey % 7 as bigint) as r, cast((o_orderkey - 100) // 7 as bigint) as d from {orders}"),
+    "expr_arith": (
+        "select o_orderkey, o_orderkey + 3 as a, o_orderkey * 2 as m, cast(o_orderkey % 7 as bigint) as r, cast((o_orderkey - 100) div 7 as bigint) as d from {orders}",
+        "select o_orderkey, o_orderkey + 3 as a, o_orderkey * 2 as m, cast(o_orderkey % 7 as bigint) as r, cast((o_orderkey - 100) // 7 as bigint) as d from {orders}",
+    ),
     "expr_concat": ("select n_nationkey, 'n' || cast(n_nationkey as string) || ':' || n_name as s from {nation}", "select n_nationkey, 'n' || n_nationkey || ':' || n_name as s from {nation}"),
-    "expr_list_index": ("select n_nationkey, element_at(array('alpha', 'beta', 'gamma', 'delta'), cast(n_nationkey % 4 + 1 as int)) as g from {nation}", "select n_nationkey, (['alpha', 'beta', 'gamma', 'delta'])[n_nationkey % 4 + 1] as g from {nation}"),
+    "expr_list_index": (
+        "select n_nationkey, element_at(array('alpha', 'beta', 'gamma', 'delta'), cast(n_nationkey % 4 + 1 as int)) as g from {nation}",
+        "select n_nationkey, (['alpha', 'beta', 'gamma', 'delta'])[n_nationkey % 4 + 1] as g from {nation}",
+    ),
     "expr_is_null": "select count(*) as n, count(*) filter (where c_name is null) = 0 as complete from {customer}",
     "range_source": ("select id as i, 'str' || cast(id as string) as s from range(0, 20000)", "select range as i, 'str' || range as s from range(0, 20000)"),
     # What the host engine gives, not the scan
     "host_left_join": "select c_custkey, count(o_orderkey) as n from {customer} left join {orders} on c_custkey = o_custkey group by c_custkey",
-    "host_semi_join": ("select c_custkey, c_name from {customer} left semi join {orders} on c_custkey = o_custkey", "select c_custkey, c_name from {customer} where c_custkey in (select o_custkey from {orders})"),
+    "host_semi_join": (
+        "select c_custkey, c_name from {customer} left semi join {orders} on c_custkey = o_custkey",
+        "select c_custkey, c_name from {customer} where c_custkey in (select o_custkey from {orders})",
+    ),
     "host_anti_join": (
         "select c_custkey, c_name from {customer} left anti join {orders} on c_custkey = o_custkey and o_orderpriority = '1-URGENT'",
         "select c_custkey, c_name from {customer} where c_custkey not in (select o_custkey from {orders} where o_orderpriority = '1-URGENT')",
     ),
     "host_union_all": "select n_name as name from {nation} union all select r_name from {region}",
     "host_intersect_all": "select o_custkey from {orders} intersect all select c_custkey from {customer} where c_custkey % 3 = 0",
-    "host_window_rank": ("select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from {orders}", "select o_orderkey, o_custkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as int) as r from {orders}"),
+    "host_window_rank": (
+        "select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from {orders}",
+        "select o_orderkey, o_custkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as int) as r from {orders}",
+    ),
     "host_rollup": "select l_returnflag, l_linestatus, count(*) as n from {lineitem} group by rollup (l_returnflag, l_linestatus)",
 }
 
@@ -242,28 +269,49 @@ def host_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FUNCTIONS: dict[str, tuple[Q, str | None]] = {
-    "flagship": (flagship, "select cast(sum(cast(cast(l_extendedprice as decimal(12,2)) * cast(l_discount as decimal(4,2)) as decimal(38,4))) as double) as revenue from lineitem where l_shipdate >= timestamp'1994-01-01 00:00:00' and l_shipdate < timestamp'1996-01-01 00:00:00' and l_quantity < 24"),
+    "flagship": (
+        flagship,
+        "select cast(sum(cast(cast(l_extendedprice as decimal(12,2)) * cast(l_discount as decimal(4,2)) as decimal(38,4))) as double) as revenue from lineitem where l_shipdate >= timestamp'1994-01-01 00:00:00' and l_shipdate < timestamp'1996-01-01 00:00:00' and l_quantity < 24",
+    ),
     "scan_strict_ok": (scan_strict_ok, "select o_orderkey, o_orderstatus from orders"),
-    "describe_schema": (describe_schema, "select * from (values ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'string'), ('o_totalprice', 'double'), ('o_orderdate', 'timestamp_ntz'), ('o_orderpriority', 'string')) as t(column_name, column_type)"),
+    "describe_schema": (
+        describe_schema,
+        "select * from (values ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'string'), ('o_totalprice', 'double'), ('o_orderdate', 'timestamp_ntz'), ('o_orderpriority', 'string')) as t(column_name, column_type)",
+    ),
     "except_all": (except_all, "select o_custkey, o_orderstatus from orders except all select o_custkey, o_orderstatus from orders where o_orderstatus = 'O'"),
     "topk_api": (topk_api, "select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 30"),
     "cast_narrow": (cast_narrow, "select cast(l_orderkey as int) as l_orderkey, l_linenumber from lineitem"),
     "cast_narrow_join": (cast_narrow_join, "select o_orderstatus, count(*) as n from lineitem join orders on l_orderkey = o_orderkey group by o_orderstatus"),
     "narrow_transfer_invariant": (narrow_transfer_invariant, "select cast(sum(l_orderkey) as bigint) as s, count(*) as n from lineitem"),
-    "settings_invariance": (settings_invariance, "select setting, n, s from (values ('default'), ('prefetch_depth=0'), ('prefetch_depth=8'), ('scheduler_queue_depth=1'), ('scheduler_num_streams=1'), ('enable_yield=false'), ('narrow_transfer=true')) as t(setting), (select count(*) as n, cast(sum(o_custkey) as bigint) as s from orders where o_orderkey >= 4096) as r"),
+    "settings_invariance": (
+        settings_invariance,
+        "select setting, n, s from (values ('default'), ('prefetch_depth=0'), ('prefetch_depth=8'), ('scheduler_queue_depth=1'), ('scheduler_num_streams=1'), ('enable_yield=false'), ('narrow_transfer=true')) as t(setting), (select count(*) as n, cast(sum(o_custkey) as bigint) as s from orders where o_orderkey >= 4096) as r",
+    ),
     "roundtrip_copy": (roundtrip_copy, "select o_orderstatus, count(*) as n, cast(sum(o_orderkey) as bigint) as s from orders group by o_orderstatus"),
-    "rowgroup_stats": (rowgroup_stats, 'select \'o_orderkey\' as "column", count(*) as n_rows, min(o_orderkey) as lo, max(o_orderkey) as hi from orders union all select \'o_custkey\', count(*), min(o_custkey), max(o_custkey) from orders'),
+    "rowgroup_stats": (
+        rowgroup_stats,
+        'select \'o_orderkey\' as "column", count(*) as n_rows, min(o_orderkey) as lo, max(o_orderkey) as hi from orders union all select \'o_custkey\', count(*), min(o_custkey), max(o_custkey) from orders',
+    ),
     "footer_agg_minmax": (footer_agg_minmax, "select count(o_orderkey) as n_rows, min(o_orderkey) as min_value, max(o_orderkey) as max_value from orders"),
     "footer_agg_filtered": (footer_agg_filtered, "select count(o_orderkey) as n_rows, min(o_orderkey) as min_value, max(o_orderkey) as max_value from orders where o_orderkey between 100 and 5000"),
-    "footer_cardinality": (footer_cardinality, "select 'customer' as name, count(*) as n from customer union all select 'orders', count(*) from orders union all select 'lineitem', count(*) from lineitem"),
-    "footer_partitioned": (footer_partitioned, "select count(*) filter (where o_custkey between 10 and 1000) as n_rows, min(o_custkey) filter (where o_custkey between 10 and 1000) as min_value, max(o_custkey) filter (where o_custkey between 10 and 1000) as max_value, cast(sum(o_orderkey) as bigint) as keys, count(*) as n_all from orders"),
+    "footer_cardinality": (
+        footer_cardinality,
+        "select 'customer' as name, count(*) as n from customer union all select 'orders', count(*) from orders union all select 'lineitem', count(*) from lineitem",
+    ),
+    "footer_partitioned": (
+        footer_partitioned,
+        "select count(*) filter (where o_custkey between 10 and 1000) as n_rows, min(o_custkey) filter (where o_custkey between 10 and 1000) as min_value, max(o_custkey) filter (where o_custkey between 10 and 1000) as max_value, cast(sum(o_orderkey) as bigint) as keys, count(*) as n_all from orders",
+    ),
     "agg_pushdown": (agg_pushdown, "select count(*) as n, min(l_orderkey) as lo, max(l_orderkey) as hi from lineitem"),
     "scan_batch_index": (scan_batch_index, 'select count(*) as n, cast(0 as bigint) as "first", count(*) - 1 as "last" from orders'),
     "hosted_catalog": (hosted_catalog, None),
     "hosted_scan": (hosted_scan, "select s_suppkey, s_name from supplier"),
     "scan_metrics": (scan_metrics, None),
     "scan_profile": (scan_profile, None),
-    "host_tumbling": (host_tumbling, "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, cast(sum(cast(value as decimal(12,2))) as double) as total from events group by 1, 2"),
+    "host_tumbling": (
+        host_tumbling,
+        "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, cast(sum(cast(value as decimal(12,2))) as double) as total from events group by 1, 2",
+    ),
 }
 
 

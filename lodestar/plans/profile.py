@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 # Bytes and nanoseconds of one handshake.
 HANDSHAKE_BYTES, CYCLE_NS = 64, 4
 # The profile's columns, in order.
-COLUMNS = "stream long, in_handshakes_cycles long, in_starved_cycles long, in_stalled_cycles long, in_idle_cycles long, in_last_handshakes long, out_handshakes_cycles long, out_starved_cycles long, out_stalled_cycles long, out_idle_cycles long, out_last_handshakes long, in_throughput_gbps double, in_throughput_excl_idle_gbps double, out_throughput_gbps double, out_throughput_excl_idle_gbps double"
+COLUMNS = (
+    "stream long, in_handshakes_cycles long, in_starved_cycles long, in_stalled_cycles long, in_idle_cycles long, in_last_handshakes long, "
+    "out_handshakes_cycles long, out_starved_cycles long, out_stalled_cycles long, out_idle_cycles long, out_last_handshakes long, "
+    "in_throughput_gbps double, in_throughput_excl_idle_gbps double, out_throughput_gbps double, out_throughput_excl_idle_gbps double"
+)
 
 VECTORED = "parquet.hadoop.vectored.io.enabled"
 #: By application: (bytes read, milliseconds of its tasks, tasks) of each stage of the last measured query that read files.

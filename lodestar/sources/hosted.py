@@ -30,7 +30,10 @@ def resolve_inputs(spark: SparkSession, inputs: list[str]) -> list[tuple[str, st
         if not found:
             raise HostedError(f"no such input: {given}")
         for status in found:
-            inside = sorted((s for s in fs.listStatus(status.getPath()) if s.getPath().getName().endswith(".parquet")), key=lambda s: s.getPath().getName()) if status.isDirectory() and not status.getPath().getName().endswith(".parquet") else [status]
+            inside = [status]
+            if status.isDirectory() and not status.getPath().getName().endswith(".parquet"):
+                listed = (s for s in fs.listStatus(status.getPath()) if s.getPath().getName().endswith(".parquet"))
+                inside = sorted(listed, key=lambda s: s.getPath().getName())
             for s in inside:
                 name = s.getPath().getName()
                 if name in out:
