@@ -22,6 +22,8 @@ __all__ = ["KEPT", "attach", "batch_of", "components", "discard", "fresh", "grou
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows; so there are fewer than HOT_SHARE hot keys, whatever the data.
 HOT_SHARE = 1000
+#: Edges of a graph that are no burden for a task, whichever node they share.
+SMALL = 20_000
 #: Folders that this process has staged and not dropped yet, with their sessions.
 _MADE: dict[str, SparkSession] = {}
 
@@ -133,14 +135,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     before = tuple(edges.agg(*print_of).first())
     while before[0]:
+
+        def met(rows: DataFrame, low: DataFrame, total: int, n: int = before[0]) -> DataFrame:
+            return rows.join(low, "u") if n <= SMALL else attach(rows, low, "u", "n", total)
+
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        met = attach(both, low, "u", "n", 2 * before[0]).where("v > u")
-        large = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = met(both, low, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        met = attach(large, low, "u", "n", before[0])
         pair = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = met.select(F.explode(pair).alias("e")).select("e.*").where("u <> v").distinct()
+        small = met(large, low, before[0]).select(F.explode(pair).alias("e")).select("e.*").where("u <> v").distinct()
         next_edges = staged(small, "edges")
         discard(edges)
         edges = next_edges
