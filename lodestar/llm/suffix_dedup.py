@@ -1,21 +1,22 @@
 """Removal of long repeated byte strings by suffix arrays, sorted in two stages.
 
-Every LENGTH-byte string has an anchor, the GRAM-byte string in it with the smallest hash, which its
-content alone decides. So equal strings have equal anchors, and neighbouring strings mostly share theirs: a run of
-such starts is a segment. Buckets of texts ask the anchors' owners which anchors occur more than once;
-only segments of those are sent on, each distinct segment once a bucket with its first place, its later
-copies being marked there and then. Segments meet by anchor and are sorted in blocks of whole groups.
-
-Within a block, suffixes smaller than their successors are sorted directly; the others are induced from
-them, bucket by bucket of the first byte: scanning the sorted suffixes of a byte puts the suffixes one
-to the left in their places. Neighbours with a common prefix of LENGTH bytes or more are the same string,
-of which all but the first in (doc_id, start) are marked. An anchor with over HOT places is cut into
-single strings, dealt by their own hash, so no group grows with a common passage's number of copies.
-
-Cases: null and empty texts and texts under LENGTH bytes lose nothing; a null doc_id comes before all
-others; rows that share a doc_id but not the text are documents in the order of a checksum, rows that
-share both are one document; texts of any length are cut in full; no rows give no rows; other columns
-may have any name.
+Every LENGTH-byte string has an anchor, the GRAM-byte string in it with the smallest hash, which its content alone
+decides. So equal strings have equal anchors, and neighbouring strings mostly share theirs: a run of such starts is a
+segment. Buckets of texts ask the anchors' owners which anchors occur more than once; only starts of those are looked
+at further. Anchors do nothing but deal the work out: which strings are equal is read from sorted suffixes alone.
+
+Every block of a bucket's texts is sorted: suffixes smaller than their successors directly, the others induced from
+them, bucket by bucket of the first byte: scanning the sorted suffixes of a byte puts the suffixes one to the left in
+their places. Then the common prefix of each suffix with its neighbour is computed; where it is LENGTH bytes or more,
+both begin with the same string, of which all but the first in (doc_id, start) are marked. What is first in its block
+goes on by its anchor as pieces, and those of all blocks that meet are sorted, compared and marked in the same way.
+A string that stands in many blocks is folded as it comes: after each sort only its first place stays. An anchor
+with over HOT places is cut into single strings, dealt by their own hash, so no group grows with the texts around a
+common string.
+
+Cases: null and empty texts and texts under LENGTH bytes lose nothing; a null doc_id comes before all others; rows
+that share a doc_id but not the text are documents in the order of a checksum, rows that share both are one document;
+texts of any length are cut in full, a block at a time; no rows give no rows; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,24 +27,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import settled, ship, shuffle_width
-from lodestar.llm.lm_score import _batch, _groups
+from lodestar.llm.common import batch_of, groups_of, settled, ship, width_for
 
 LENGTH, GRAM = 100, 24
 BUCKET_BYTES = 4 << 20
-#: Bytes whose anchors are found at a time; places in it fit in 20 bits.
-CHUNK = 1 << 19
-#: Bytes of distinct segments that are sorted together, but for a single group of up to HOT segments.
+#: Bytes that are sorted together; places in them fit in 20 bits.
+CHUNK, _PLACES = 1 << 19, (1 << 20) - 1
+#: Bytes of pieces that are sorted together, but for what is left of a single group of up to HOT strings.
 BLOCK = 1 << 19
+#: Bytes of text for each owner of anchors, and for each partition of the shuffles.
+OWNER_BYTES, PART_BYTES = 32 << 20, 32 << 20
 HOT = 50_000
 _U = np.uint64
 _RANDOM = np.random.default_rng(7).integers(1, 1 << 63, 264, dtype=np.uint64) * _U(2) + _U(1)
 _BYTE, _ODD = _RANDOM[:256], _RANDOM[256:]
+#: Bytes by which suffixes are ordered: more than a string, in whole words of 8.
+DEPTH = LENGTH + 4
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -66,13 +71,13 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if len(data) < LENGTH:
         return none.view(_U), none, none
     h = gram_hashes(data)
-    low = (h & ~_U(0xFFFFF)) | np.arange(len(h), dtype=_U)
+    low = (h & ~_U(_PLACES)) | np.arange(len(h), dtype=_U)
     span, size = LENGTH - GRAM + 1, 1
     while 2 * size <= span:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     low = np.minimum(low[: len(h) - span + 1], low[span - size : span - size + len(h) - span + 1])
-    at = (low & _U(0xFFFFF)).astype(np.int64)
+    at = (low & _U(_PLACES)).astype(np.int64)
     begins = np.concatenate([[0], ends[:-1]])
     room = np.repeat(ends, ends - begins)[: len(at)] - np.arange(len(at)) >= LENGTH
     new = np.ones(len(at), bool)
@@ -99,17 +104,20 @@ def two_stage_order(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndar
     next_rising = np.minimum.accumulate(next_rising[::-1])[::-1]
     mark = np.zeros(n + 2, np.int32)
     starts = np.flatnonzero(wanted)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, next_rising[starts] + 1, -1)
+    mark[starts] = 1
+    mark -= np.bincount(next_rising[starts] + 1, minlength=n + 2).astype(np.int32)
     need = np.cumsum(mark[:n]) > 0
     rising = rising[:n]
 
+    # Directly sorted are the suffixes that are smaller than their successors, one first byte after another.
     direct = np.flatnonzero(need & rising)
-    rows = np.lib.stride_tricks.sliding_window_view(data, depth)[direct]
-    direct = direct[np.argsort(np.ascontiguousarray(rows).view(f"S{depth}").ravel(), kind="stable")]
-    del rows
-    lead = data[direct]
-    cut = np.searchsorted(lead, np.arange(257))
+    direct = direct[np.argsort(data[direct], kind="stable")]
+    cut = np.searchsorted(data[direct], np.arange(257))
+    window = np.lib.stride_tricks.sliding_window_view(data, depth)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if b - a > 1:
+            rows = np.ascontiguousarray(window[direct[a:b]]).view(f"S{depth}").ravel()
+            direct[a:b] = direct[a:b][np.argsort(rows, kind="stable")]
     falling = need & ~rising
     coming: list[list[np.ndarray]] = [[] for _ in range(256)]
     if n and falling[n - 1]:
@@ -140,51 +148,102 @@ def two_stage_order(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndar
     return order[wanted[order]]
 
 
-def repeated(pieces: list[bytes], counts: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-    """For each piece which of its first counts[i] strings also start earlier; places[i] orders the pieces' starts.
-
-    places is an array of (doc, tie, start) records.
+def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of each suffix but the first with the one before it, at most LENGTH; eight bytes at a time."""
+    word = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    out = np.full(max(0, len(order) - 1), LENGTH, np.int64)
+    alive, left, right = np.arange(len(out)), order[:-1], order[1:]
+    for at in range(0, DEPTH, 8):
+        apart = word[left + at] ^ word[right + at]
+        differ = apart != 0
+        x = apart[differ]
+        # The lowest bit that differs is in the first byte that does.
+        out[alive[differ]] = at + np.log2((x & (~x + _U(1))).astype("f8")).astype(np.int64) // 8
+        same = ~differ
+        alive, left, right = alive[same], left[same], right[same]
+        if not len(alive):
+            break
+    return np.minimum(out, LENGTH)
+
+
+def later_copies(data: np.ndarray, wanted: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A mask of the wanted starts whose string also stands at a smaller place, by the sorted suffixes and their common prefixes.
+
+    data ends with DEPTH + 8 bytes more than wanted has places; equal places are one.
     """
-    sizes = np.array([len(p) + 1 for p in pieces])
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    depth = LENGTH + 4
-    data = np.frombuffer(b"\0".join(pieces) + bytes(depth + 1), np.uint8)
-    n = int(sizes.sum())
-    mark = np.zeros(n + 1, np.int32)
-    np.add.at(mark, begin, 1)
-    np.add.at(mark, begin + counts, -1)
-    wanted = np.cumsum(mark[:-1]) > 0
-    order = two_stage_order(data, wanted, depth)
-    of = np.repeat(np.arange(len(pieces)), sizes)[order]
-    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-    same = np.zeros(len(order), bool)
-    for at in range(1, len(order), 50_000):
-        to = min(at + 50_000, len(order))
-        rows = view[order[at - 1 : to]]
-        same[at:to] = (rows[1:] == rows[:-1]).all(1)
-    # Within a run of equal strings the first is the one whose (doc, tie, start) is smallest.
-    later = np.zeros(n, bool)
-    in_run = same.copy()
-    in_run[:-1] |= same[1:]
-    run = np.cumsum(~same)[in_run]
-    where, owner = order[in_run], of[in_run]
-    if len(where):
-        start = places["start"][owner] + (where - begin[owner])
-        by = np.lexsort((start, places["tie"][owner], places["doc"][owner], run))
-        r, d, t, s = run[by], places["doc"][owner][by], places["tie"][owner][by], start[by]
-        head = np.ones(len(by), bool)
-        head[1:] = r[1:] != r[:-1]
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))
-        later[where[by][(d != d[lead]) | (t != t[lead]) | (s != s[lead])]] = True
-    return [later[b : b + c] for b, c in zip(begin, counts, strict=True)]
-
-
-_PLACE = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("start", "<i8")])
-
-
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+    later = np.zeros(len(wanted), bool)
+    order = two_stage_order(data, wanted, DEPTH)
+    if not len(order):
+        return later
+    run = np.flatnonzero(np.concatenate([[True], common_prefixes(data, order) < LENGTH]))
+    at = place[order]
+    first = np.repeat(np.minimum.reduceat(at, run), np.diff(np.append(run, len(at))))
+    later[order[at != first]] = True
+    return later
+
+
+def _padded(data: bytes) -> np.ndarray:
+    return np.frombuffer(data + bytes(DEPTH + 8), np.uint8)
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of a mask begin and end."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    return edges[::2], edges[1::2]
+
+
+def _ranked(places: list[tuple[int, int, int]]) -> np.ndarray:
+    """The rank of each (doc, tie, start); equal ones share it."""
+    rank = {p: i for i, p in enumerate(sorted(set(places)))}
+    return np.array([rank[p] for p in places], np.int64)
+
+
+class Pieces:
+    """Pieces of text, each with n string starts from a place on, that are sorted together."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int, int, int, int, bytes]] = []
+        self.bytes = 0
+
+    def add(self, bucket: int, doc: int, tie: int, start: int, n: int, piece: bytes) -> None:
+        self.rows.append((bucket, doc, tie, start, n, piece))
+        self.bytes += len(piece)
+
+    def solve(self, since: int = 0) -> tuple[list[tuple[int, int, int, int, int]], Pieces]:
+        """(marks, what is left): the runs (bucket, doc, tie, start, n) of starts whose strings stand earlier; and, of the rows from `since` on, pieces of all the others."""
+        left, marks = Pieces(), []
+        if not self.rows:
+            return marks, left
+        sizes = np.array([len(r[5]) for r in self.rows])
+        counts = np.array([r[4] for r in self.rows])
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        n = int(sizes.sum())
+        mark = np.zeros(n + 1, np.int32)
+        mark[begin] = 1
+        mark[begin + counts] -= 1
+        wanted = np.cumsum(mark[:-1]) > 0
+        # Starts of pieces that overlap in one text must compare by their places in it.
+        texts = {t: i for i, t in enumerate(sorted({r[1:3] for r in self.rows}))}
+        lead = np.array([texts[r[1:3]] for r in self.rows], np.int64) << 40 | np.array([r[3] for r in self.rows], np.int64)
+        place = np.repeat(lead - begin, sizes) + np.arange(n)
+        later = later_copies(_padded(b"".join(r[5] for r in self.rows)), wanted, place)
+
+        def runs(mask: np.ndarray) -> Iterator[tuple[int, int, int]]:
+            """(row, from, to) of the runs, which end where a piece's starts do."""
+            x, y = _runs(mask)
+            row = np.searchsorted(begin, x, "right") - 1
+            yield from zip(row.tolist(), (x - begin[row]).tolist(), (y - begin[row]).tolist(), strict=True)
+
+        for row, x, y in runs(later):
+            bucket, doc, tie, start, *_ = self.rows[row]
+            marks.append((bucket, doc, tie, start + x, y - x))
+        if since < len(self.rows):
+            rest = wanted & ~later
+            rest[: begin[since]] = False
+            for row, x, y in runs(rest):
+                bucket, doc, tie, start, _, piece = self.rows[row]
+                left.add(bucket, doc, tie, start + x, y - x, piece[x : y + LENGTH - 1])
+        return marks, left
 
 
 def _chunks(texts: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
@@ -214,16 +273,17 @@ def _texts(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_batches([_batch(rows, schema)]) if rows else schema.empty_table()
+    return pa.Table.from_batches([batch_of(rows, schema)]) if rows else schema.empty_table()
 
 
 def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(packed texts, marks): marks are (bucket, doc, tie, start, n), runs of starts of strings that also start earlier."""
     spark = docs.sparkSession
     ship(spark)
-    owners = shuffle_width(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // bucket_bytes))
+    owners, buckets = max(1, -(-size // OWNER_BYTES)), max(1, -(-size // bucket_bytes))
+    width = width_for(spark, size, PART_BYTES)
+    parts = [width] if width_for(spark, 0, 1) < width else []
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +296,8 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int =
                 data.append(press.compress(raw))
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(ties, pa.int64()), pa.array(data, pa.binary())], ["doc", "tie", "data"])
 
-    packed = rows.mapInArrow(settled(pack), "doc long, tie long, data binary").select(F.pmod(F.xxhash64("doc", "tie"), F.lit(buckets)).cast("int").alias("bucket"), "doc", "tie", "data")
+    packed = rows.mapInArrow(settled(pack), "doc long, tie long, data binary")
+    packed = packed.select(F.pmod(F.xxhash64("doc", "tie"), F.lit(buckets)).cast("int").alias("bucket"), "doc", "tie", "data").repartition(*parts, "bucket")
 
     ask_schema = pa.schema([("owner", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.binary()), ("counts", pa.binary())])
 
@@ -244,14 +305,14 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int =
         """A bucket's distinct anchors and how often they occur, by owner."""
         found = [segments(data, ends)[0] for data, ends, _ in _chunks(_texts(texts))]
         anchors, n = np.unique(np.concatenate([*found, np.empty(0, _U)]), return_counts=True)
-        of = (anchors >> _U(32)).astype(np.int64) * owners >> 32
+        of = ((anchors >> _U(32)) * _U(owners) >> _U(32)).astype(np.int64)
         cut = np.searchsorted(of, np.arange(owners + 1))
         bucket = texts.column("bucket")[0].as_py()
         return _rows([(o, bucket, anchors[cut[o] : cut[o + 1]].tobytes(), write_counts(n[cut[o] : cut[o + 1]])) for o in range(owners) if cut[o] < cut[o + 1]], ask_schema)
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The anchors that occur more than once, with 1 or, if they are hot, 2."""
-        for _, slices in _groups(batches, "owner"):
+        for _, slices in groups_of(batches, "owner"):
             asked = [(bucket, np.frombuffer(a.as_py(), _U), c.as_py()) for b in slices for bucket, a, c in zip(b.column("bucket").to_pylist(), b.column("anchors"), b.column("counts"), strict=True)]
             every = np.concatenate([a for _, a, _ in asked])
             order = np.argsort(every, kind="stable")
@@ -267,48 +328,58 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int =
 
     # Every step that needs the texts groups them alike, so that they are dealt out once and the exchange is used again.
     asked = packed.groupBy("bucket").applyInArrow(settled(ask), "owner int, bucket int, anchors binary, counts binary")
-    replies = asked.repartition("owner").sortWithinPartitions("owner").mapInArrow(settled(reply), "bucket int, anchors binary, flags binary")
+    replies = asked.repartition(*parts, "owner").sortWithinPartitions("owner").mapInArrow(settled(reply), "bucket int, anchors binary, flags binary").repartition(*parts, "bucket")
 
     cut_schema = pa.schema([("key", pa.int64()), ("bucket", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("piece", pa.binary())])
 
     def cut(texts: pa.Table, told: pa.Table) -> pa.Table:
-        """A bucket's distinct segments with repeated anchors, each at its first place; its later places are marks, without a piece."""
+        """What a bucket's sorted blocks tell: runs of later copies, as marks without a piece, and pieces of first ones by key."""
         if not told.num_rows:
             return cut_schema.empty_table()
         bucket = texts.column("bucket")[0].as_py()
         anchors = np.concatenate([np.frombuffer(a.as_py(), _U) for a in told.column("anchors")])
         order = np.argsort(anchors)
         anchors, flags = anchors[order], np.concatenate([np.frombuffer(f.as_py(), np.uint8) for f in told.column("flags")])[order]
-        first: dict[tuple[int, bytes], tuple] = {}
-        marks: list[tuple] = []
-
-        def put(key: int, piece: bytes, place: tuple, n: int) -> None:
-            known = first.get((key, piece))
-            if known is None:
-                first[key, piece] = (place, n)
-            elif known[0] != place:
-                later = max(known[0], place)
-                first[key, piece] = (min(known[0], place), n)
-                marks.append((0, bucket, *later, n, None))
-
+        out: list[pa.RecordBatch] = []
         for data, ends, about in _chunks(_texts(texts)):
             a, lo, hi = segments(data, ends)
             at = np.minimum(np.searchsorted(anchors, a), len(anchors) - 1)
-            flag = np.where(anchors[at] == a, flags[at], 0)
-            raw = data.tobytes()
-            pick = np.flatnonzero(flag)
-            part = np.searchsorted(ends, lo[pick], "right")
+            pick = np.flatnonzero(anchors[at] == a)
+            a, lo, hi, flag = a[pick], lo[pick], hi[pick], flags[at[pick]]
+            mark = np.zeros(len(data) + 1, np.int32)
+            mark[lo] = 1
+            mark[hi + 1] -= 1
             begins = np.concatenate([[0], ends[:-1]])
-            for key, x, y, p, f in zip(a[pick].view(np.int64).tolist(), lo[pick].tolist(), hi[pick].tolist(), part.tolist(), flag[pick].tolist(), strict=True):
-                doc, tie, off = about[p]
-                off += x - int(begins[p])
-                if f == 1:
-                    put(key, raw[x : y + LENGTH], (doc, tie, off), y - x + 1)
-                else:
-                    for i in range(y - x + 1):
-                        piece = raw[x + i : x + i + LENGTH]
-                        put(xxhash.xxh3_64_intdigest(piece, key & 0xFFFF) - (1 << 63), piece, (doc, tie, off + i), 1)
-        return _rows(marks + [(key, bucket, *place, n, piece) for (key, piece), (place, n) in first.items()], cut_schema)
+            place = np.repeat(_ranked(about), ends - begins) << 20 | np.arange(len(data)) - np.repeat(begins, ends - begins)
+            raw = data.tobytes()
+            wanted = np.cumsum(mark[:-1]) > 0
+            later = later_copies(_padded(raw), wanted, place)
+            doc, tie, off = (np.array(c, np.int64) for c in zip(*about, strict=True))
+
+            def told(key: np.ndarray, x: np.ndarray, n: np.ndarray, pieces: list, own: tuple = (doc, tie, off - begins, ends)) -> None:
+                """Rows for the runs of n starts from x on."""
+                part = np.searchsorted(own[3], x, "right")
+                columns = [key, np.full(len(x), bucket), own[0][part], own[1][part], own[2][part] + x, n, pieces]
+                out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, cut_schema, strict=True)], schema=cut_schema))
+
+            x, y = _runs(later)
+            told(np.zeros(len(x), np.int64), x, y - x, [None] * len(x))
+            # Runs of first copies, cut where the anchor changes.
+            first = wanted & ~later
+            new = np.zeros(len(data) + 1, bool)
+            new[lo] = True
+            x = np.flatnonzero(first & (new[:-1] | ~np.concatenate([[False], first[:-1]])))
+            y = np.flatnonzero(first & (new[1:] | ~np.concatenate([first[1:], [False]]))) + 1
+            of = np.searchsorted(lo, x, "right") - 1
+            hot_ones = flag[of] == 2
+            cool = ~hot_ones
+            told(a[of[cool]].view(np.int64), x[cool], y[cool] - x[cool], [raw[i : j + LENGTH - 1] for i, j in zip(x[cool].tolist(), y[cool].tolist(), strict=True)])
+            # A hot anchor's strings one by one, by their own hash.
+            x, y = x[hot_ones], y[hot_ones]
+            x = np.repeat(x, y - x) + np.arange((y - x).sum()) - np.repeat(np.cumsum(y - x) - (y - x), y - x)
+            strings = [raw[i : i + LENGTH] for i in x.tolist()]
+            told(np.array([xxhash.xxh3_64_intdigest(s) for s in strings], _U).view(np.int64), x, np.ones(len(x), np.int64), strings)
+        return pa.Table.from_batches(out, cut_schema)
 
     cuts = packed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(settled(cut), "key long, bucket int, doc long, tie long, start long, n int, piece binary")
     # Marks pass the sorting tasks by, dealt evenly; pieces meet by key.
@@ -317,56 +388,32 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int =
     mark_schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-        group: dict[bytes, list] = {}
-        state = {"key": None, "bytes": 0}
-        marks: list[tuple] = []
-
-        def close() -> None:
-            """The group's distinct pieces join the block at their first places."""
-            if len(group) > 1:
-                block.extend((piece, *place) for piece, place in group.items())
-                state["bytes"] += sum(map(len, group))
-            group.clear()
-
-        def solve() -> None:
-            if block:
-                pieces = [p for p, *_ in block]
-                counts = np.array([r[5] for r in block])
-                places = np.array([(r[2], r[3], r[4]) for r in block], _PLACE)
-                for r, mask in zip(block, repeated(pieces, counts, places), strict=True):
-                    marks.extend((r[1], r[2], r[3], r[4] + a, b - a) for a, b in _runs(mask))
-                block.clear()
-                state["bytes"] = 0
-
+        pieces, marks, key, limit, since = Pieces(), [], None, BLOCK, 0
+        names = ("key", "bucket", "doc", "tie", "start", "n", "piece")
         for b in batches:
-            for key, bucket, doc, tie, start, n, piece in zip(*(b.column(c).to_pylist() for c in ("key", "bucket", "doc", "tie", "start", "n", "piece")), strict=True):
-                if piece is None:
-                    marks.append((bucket, doc, tie, start, n))
-                    continue
-                if key != state["key"]:
-                    close()
-                    state["key"] = key
-                    if state["bytes"] > BLOCK:
-                        solve()
-                known = group.get(piece)
-                if known is None:
-                    group[piece] = [bucket, doc, tie, start, n]
-                elif (doc, tie, start) < tuple(known[1:4]):
-                    marks.append((known[0], *known[1:4], n))
-                    group[piece] = [bucket, doc, tie, start, n]
-                elif (doc, tie, start) > tuple(known[1:4]):
-                    marks.append((bucket, doc, tie, start, n))
+            bare = b.column("piece").is_null()
+            known = b.filter(bare)
+            if known.num_rows:
+                yield known.select([f.name for f in mark_schema]).cast(mark_schema)
+            rest = b.filter(pc.invert(bare))
+            for row_key, bucket, doc, tie, start, n, piece in zip(*(rest.column(c).to_pylist() for c in names), strict=True):
+                if pieces.bytes > limit:
+                    # Whole groups are done with; of a group that goes on, the strings' first places stay.
+                    told, pieces = pieces.solve(since if row_key == key else len(pieces.rows))
+                    marks += told
+                    limit, since = max(BLOCK, 2 * pieces.bytes), 0
+                if row_key != key:
+                    key, since = row_key, len(pieces.rows)
+                pieces.add(bucket, doc, tie, start, n, piece)
             if len(marks) > 50_000:
-                yield _batch(marks, mark_schema)
-                marks.clear()
-        close()
-        solve()
+                yield batch_of(marks, mark_schema)
+                marks = []
+        marks += pieces.solve(len(pieces.rows))[0]
         if marks:
-            yield _batch(marks, mark_schema)
+            yield batch_of(marks, mark_schema)
 
-    marks = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(settled(sort), "bucket int, doc long, tie long, start long, n int")
-    return packed, marks
+    marks = dealt.repartition(*parts, "key").sortWithinPartitions("key").mapInArrow(settled(sort), "bucket int, doc long, tie long, start long, n int")
+    return packed, marks.repartition(*parts, "bucket")
 
 
 def write_counts(n: np.ndarray) -> bytes:
@@ -398,8 +445,8 @@ def suffix_dedup(docs: DataFrame, texts: bool = False, bucket_bytes: int = BUCKE
             gone = np.zeros(len(text) + 1, np.int32)
             if (d, t) in spans:
                 a, b = spans[d, t]
-                np.add.at(gone, start[a:b], 1)
-                np.add.at(gone, start[a:b] + n[a:b] + (LENGTH - 1), -1)
+                gone += np.bincount(start[a:b], minlength=len(gone)).astype(np.int32)
+                gone -= np.bincount(start[a:b] + n[a:b] + (LENGTH - 1), minlength=len(gone)).astype(np.int32)
             lost = np.cumsum(gone[:-1]) > 0
             kept = np.frombuffer(text, np.uint8)[~lost].tobytes()
             runs = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum()) if len(lost) else 0
