@@ -9,8 +9,10 @@ runs: a deterministic state is the set of threads, each with the output that not
 What all share is written at once, which bounds the lookahead by the longest token. Transitions are kept
 by (state, byte); beyond MAX_STATES they are forgotten and found anew, so memory is bounded.
 
-Cases: null and empty texts have no tokens; no cap on a text's or a piece's length; other columns may
-have any name; rows are encoded one by one, so repeated rows give repeated results.
+Decoding runs an incremental UTF-8 state machine over the tokens; what it writes is what is told of the decoded text.
+
+Cases: null and empty texts have no tokens; no cap on a text's or a piece's length; no rows give no rows; other
+columns may have any name; rows are encoded one by one, so repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -231,41 +233,77 @@ class _Pieces(dict):
 
 
 class Utf8Stream:
-    """UTF-8 decoding of chunks that may end inside a character; ill-formed bytes become U+FFFD.
+    """Incremental UTF-8 decoding by a state machine over bytes, in steps of whole tokens.
 
-    The state is the start of an unfinished character, at most three bytes.
+    The state is the start of an unfinished character, at most three bytes; ill-formed bytes become U+FFFD, one for
+    each longest start of a character. What a token's bytes write in a state is found once and kept.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, tokens: list[bytes] | None = None) -> None:
+        self._tokens = tokens or []
+        #: The text of each token that is whole characters; None for the others.
+        self._whole = [self._run(b"", t) for t in self._tokens]
+        self._plain = [text if not rest else None for text, rest in self._whole]
+        self._steps: dict[tuple[bytes, int], tuple[str, bytes]] = {}
         self._open = b""
 
     @staticmethod
-    def _need(lead: int) -> int:
-        return 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 1
+    def _follows(start: bytes, byte: int) -> bool:
+        """Whether `byte` may come after the start of a character."""
+        if len(start) == 1:
+            low, high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(start[0], (0x80, 0xBF))
+            return low <= byte <= high
+        return 0x80 <= byte <= 0xBF
+
+    @classmethod
+    def _run(cls, held: bytes, data: bytes) -> tuple[str, bytes]:
+        """(text written, start of a character that is left) of `data` after the start `held`."""
+        out = []
+        for byte in data:
+            if held and cls._follows(held, byte):
+                held += bytes([byte])
+                lead = held[0]
+                if len(held) == (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4):
+                    bits = lead & (0x3F >> len(held) - 1)
+                    for b in held[1:]:
+                        bits = bits << 6 | b & 0x3F
+                    out.append(chr(bits))
+                    held = b""
+                continue
+            if held:
+                out.append("\ufffd")
+                held = b""
+            if byte < 0x80:
+                out.append(chr(byte))
+            elif 0xC2 <= byte <= 0xF4:
+                held = bytes([byte])
+            else:
+                out.append("\ufffd")
+        return "".join(out), held
 
     def feed(self, chunk: bytes) -> str:
-        data = self._open + chunk
-        cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b & 0xC0 != 0x80:  # the last lead byte
-                if self._need(b) > back and data[-back:].decode("utf-8", "ignore") == "" and self._viable(data[-back:]):
-                    cut = len(data) - back
-                break
-        self._open = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
-
-    @staticmethod
-    def _viable(start: bytes) -> bool:
-        """Whether some bytes after `start` make it one well-formed character."""
-        if len(start) < 2:
-            return True
-        low, high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(start[0], (0x80, 0xBF))
-        return low <= start[1] <= high and all(0x80 <= b <= 0xBF for b in start[2:])
+        text, self._open = self._run(self._open, chunk)
+        return text
+
+    def feed_tokens(self, ids: list[int]) -> str:
+        """The text that the next tokens complete."""
+        plain = [self._plain[i] for i in ids]
+        if not self._open and None not in plain:
+            return "".join(plain)
+        out, held = [], self._open
+        for i, text in zip(ids, plain, strict=True):
+            if held or text is None:
+                step = self._steps.get((held, i))
+                if step is None:
+                    step = self._steps[held, i] = self._run(held, self._tokens[i])
+                text, held = step
+            out.append(text)
+        self._open = held
+        return "".join(out)
 
     def close(self) -> str:
         rest, self._open = self._open, b""
-        return rest.decode("utf-8", "replace")
+        return "\ufffd" if rest else ""
 
 
 class Codec:
@@ -277,19 +315,19 @@ class Codec:
         self.transducer = Transducer(ranks)
         self._split = regex.compile(pattern).findall
         self._pieces = _Pieces(self.transducer.encode)
-        self._bytes = [self.transducer.of.get(i, b"") for i in range(max(ranks.values()) + 1)]
+        self._stream = Utf8Stream([self.transducer.of.get(i, b"") for i in range(max(ranks.values()) + 1)])
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self._pieces.__getitem__, self._split(text)))
 
-    def decode(self, ids: bytes) -> Iterator[bytes]:
-        """The bytes of the ids, a chunk at a time."""
+    def decode(self, ids: bytes) -> Iterator[str]:
+        """The text of the ids, a chunk at a time."""
         for at in range(0, len(ids), 4 * CHUNK):
-            yield b"".join(map(self._bytes.__getitem__, np.frombuffer(ids[at : at + 4 * CHUNK], "<u4").tolist()))
+            yield self._stream.feed_tokens(np.frombuffer(ids[at : at + 4 * CHUNK], "<u4").tolist())
+        yield self._stream.close()
 
     def text(self, ids: bytes) -> str:
-        stream = Utf8Stream()
-        return "".join([*map(stream.feed, self.decode(ids)), stream.close()])
+        return "".join(self.decode(ids))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -317,11 +355,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, ids: bool = False) ->
             rows = []
             for text in batch.column("text"):
                 packed = own.encode(text.as_py() or "")
-                digest, stream, chars = hashlib.sha256(), Utf8Stream(), 0
+                digest, chars = hashlib.sha256(), 0
                 for chunk in own.decode(packed):
-                    digest.update(chunk)
-                    chars += len(stream.feed(chunk))
-                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest(), chars + len(stream.close()), packed if ids else None))
+                    digest.update(chunk.encode())
+                    chars += len(chunk)
+                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest(), chars, packed if ids else None))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             arrays = [batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())]
             if ids:
