@@ -15,7 +15,7 @@ hub; nodes that found no way to the hub are then compared with every other block
 
 Cases: null, empty and blank texts have no shingles and link to nothing; with fewer words than a shingle
 the whole sequence is one; a null doc_id links to nothing and is kept; rows that share a doc_id are one
-node; no rows give no rows; other columns may have any name.
+node; texts of any length are read in full; no rows give no rows; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import attach, components, settled, ship, staged
+from lodestar.llm.common import attach, batch_of, components, settled, ship, staged
 
 BINS, BANDS, ROWS = 128, 32, 4
-BLOCK_NODES, BLOCK_SHINGLES = 4000, 4_000_000
+BLOCK_NODES, BLOCK_SHINGLES = 500, 1_000_000
 #: Shingles sketched at a time.
 CHUNK = 1_000_000
 _U = np.uint64
@@ -98,10 +98,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
         bands: list = [None] * len(sets)
         for row, i in enumerate(full):
             bands[i] = keys[row]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets], pa.string()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "digest", "bands"],
-        )
+        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
+        columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, held = [], [], 0
@@ -187,7 +186,8 @@ def near_components(docs: DataFrame, size: int, percent: int, block_nodes: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = staged(sketches(docs, size), "sketches")
     linkable = known.where("digest is not null and doc_id is not null")
-    sets = staged(linkable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "sets")
+    node = [F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")]
+    sets = staged(linkable.groupBy("digest").agg(*node), "sets")
 
     # One edge for a node and a band, to the band's smallest node; a full bucket's centre is broadcast, so its rows stay spread.
     keys = sets.select("node", F.explode("bands").alias("key"))
@@ -205,7 +205,9 @@ def near_components(docs: DataFrame, size: int, percent: int, block_nodes: int =
     texts = docs.join(members.hint("merge"), docs["doc_id"] == members["node"]).select("root", "block", "blocks", "node", "text")
     large = members.where("blocks > 1").limit(1).count() > 0
     # The hub of a large component, its root, stands in every block.
-    dealt = texts if not large else texts.withColumn("block", F.explode(F.when((F.col("blocks") > 1) & (F.col("node") == F.col("root")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    hub = (F.col("blocks") > 1) & (F.col("node") == F.col("root"))
+    everywhere = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = texts.withColumn("block", F.explode(everywhere)) if large else texts
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -214,17 +216,20 @@ def near_components(docs: DataFrame, size: int, percent: int, block_nodes: int =
             labels = group_components([shingles(r[2], size) for r in rows], percent)
             out += [(root, block, r[0], r[1], rows[label][1]) for r, label in zip(rows, labels, strict=True)]
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["root", "block", "blocks", "node", "label"])
+                yield batch_of(out, solved_schema)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["root", "block", "blocks", "node", "label"])
+            yield batch_of(out, solved_schema)
 
-    solved = staged(dealt.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(settled(solve), "root long, block long, blocks long, node long, label long"), "solved")
+    solved_schema = pa.schema([(c, pa.int64()) for c in ("root", "block", "blocks", "node", "label")])
+    by_block = dealt.repartition("root", "block").sortWithinPartitions("root", "block")
+    solved = staged(by_block.mapInArrow(settled(solve), "root long, block long, blocks long, node long, label long"), "solved")
     labels = solved.where("blocks = 1").groupBy("node").agg(F.min("label").alias("label"))
     if large:
         labels = labels.unionByName(_across(solved.where("blocks > 1"), texts, size, percent, block_nodes))
 
-    merged = staged(sets.select("digest", "node", "copies").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"), "copies"), "merged")
+    labelled = sets.select("digest", "node", "copies").join(labels, "node", "left")
+    merged = staged(labelled.select("digest", F.coalesce("label", "node").alias("component_id"), "copies"), "merged")
     linked = attach(linkable.select("doc_id", "n_shingles", "digest"), merged, "digest", "copies").select("doc_id", "n_shingles", "component_id")
     alone = known.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
@@ -234,12 +239,20 @@ def _across(solved: DataFrame, texts: DataFrame, size: int, percent: int, block_
     """(node, label) in components of several blocks: nodes without a way to the hub meet all other blocks, chunk by chunk."""
     hub = solved.where("node = root").select("root", "block", F.col("label").alias("hub_label"))
     astray = solved.join(hub, ["root", "block"]).where("label <> hub_label and node <> root").select("root", "blocks", "block", "node")
-    chunks = astray.groupBy("root").agg(F.ceil(F.count("*") / block_nodes).cast("int").alias("chunks"))
-    astray = staged(astray.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")), "astray")
+    sized = solved.groupBy("root").agg(F.count("*").alias("n"))
+    chunks = astray.groupBy("root").agg(F.ceil(F.count("*") / block_nodes).cast("int").alias("chunks")).join(sized, "root")
+    chunks = staged(chunks, "chunks")
+    # A component may hold a third of all texts: its row of `chunks` is broadcast then, and its texts stay spread.
+    total = solved.count()
+    astray = attach(astray, chunks, "root", "n", total).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
+    astray = staged(astray.drop("n"), "astray")
     body = texts.where("blocks > 1").select("root", "block", "node", "text")
     with_text = astray.join(body.select("node", "text"), "node")
-    asked = with_text.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to"), "chunk", F.col("block").alias("own"), F.lit(True).alias("asks"), "node", "text").where("to <> own").drop("own")
-    there = body.join(chunks, "root").select("root", F.col("block").alias("to"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"), "node", "text")
+    to = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to")
+    asked = with_text.select("root", to, "chunk", F.col("block").alias("own"), F.lit(True).alias("asks"), "node", "text").where("to <> own").drop("own")
+    there = attach(body, chunks, "root", "n", total).select(
+        "root", F.col("block").alias("to"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"), "node", "text"
+    )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, 3):
@@ -257,7 +270,8 @@ def _across(solved: DataFrame, texts: DataFrame, size: int, percent: int, block_
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     order = ["root", "to", "chunk"]
-    cross = asked.select(*order, "asks", "node", "text").unionByName(there.select(*order, "asks", "node", "text")).repartition(*order).sortWithinPartitions(*order).mapInArrow(settled(meet), "a long, b long")
+    both = asked.select(*order, "asks", "node", "text").unionByName(there.select(*order, "asks", "node", "text"))
+    cross = both.repartition(*order).sortWithinPartitions(*order).mapInArrow(settled(meet), "a long, b long")
     joined = components(cross.unionByName(solved.select(F.col("node").alias("a"), F.col("label").alias("b")))).select("node", F.col("root").alias("label"))
     return solved.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
