@@ -140,8 +140,8 @@ def exact_groups(docs: DataFrame, keep: str = "largest", run_rows: int = RUN_ROW
     spark = docs.sparkSession
     ship(spark)
     rows = staged(docs.select("doc_id", *_digests(docs)), "digests")
-    nodes = MIN_NODES
-    while nodes * run_rows < rows.count():
+    nodes, n_rows = MIN_NODES, rows.count()
+    while nodes * run_rows < n_rows:
         nodes *= 2
     rounds = nodes.bit_length() - 1
 
