@@ -5,12 +5,12 @@ lengths, repetition). N_FOURIER random cosines of the standardised vector approx
 kernel; each partition sums its part of the normal equations, the parts meet in a tree of FAN_IN, and the
 driver solves one N_FOURIER-square system, whose size has nothing to do with the data's. The ridge's
 outputs are counted in N_BINS bins and made monotone in the label's share by pooling adjacent violators.
-All labelled rows are used; nothing is sampled.
+A fit uses MAX_FIT labelled rows at most, those of the smallest hashes of their doc_id; scores are for all rows.
 
 Cases: null and empty texts have a vector of zeros and get a score like any other; rows without a label
 or with a null one are only scored; a doc_id labelled more than once counts with its lowest label; with
-no labels at all every score is 0.5; rows that share a doc_id are scored one by one; other columns may
-have any name.
+no labels at all every score is 0.5; rows that share a doc_id are scored one by one; texts of any length
+are read in full; no rows give no rows; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from lodestar.llm.common import settled, ship, staged
 
 N_FOURIER, WIDTH, RIDGE, SEED = 320, 5.0, 1e-3, 20240
 N_BINS, FAN_IN, CUT = 1024, 16, 0.3
+#: Labelled rows that a fit learns from; their doc_ids are broadcast, at some 50 bytes each.
+MAX_FIT = 500_000
 
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b"!", b"?", b";:", b"'\"", b"|", b"#", b"*", b"&", b"%", b"$", b"@", b"/\\", b"<>", b"()[]{}", b"-_=+~^`"]
 _OF = np.zeros((256, len(_CLASSES) + 3), "f4")
@@ -130,9 +132,16 @@ def _tree_sum(parts: DataFrame, n: int) -> np.ndarray | None:
     return None if row is None else np.frombuffer(row["v"], "f8")
 
 
+def learnt_from(labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
+    """(doc_id, label) of at most max_fit labelled documents, one row each."""
+    known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").cast("double").alias("label"))
+    known = staged(known, "labels")
+    return known if known.count() <= max_fit else staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit), "labels")
+
+
 def fit(stats: DataFrame, labels: DataFrame) -> dict | None:
-    """A model from (doc_id, stats) and (doc_id, label in 0/1); None without labels."""
-    known = staged(stats.join(labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").cast("double").alias("label")), "doc_id"), "labelled")
+    """A model from (doc_id, stats) and learnt_from's (doc_id, label in 0/1); None without labels."""
+    known = staged(stats.join(F.broadcast(labels), "doc_id"), "labelled")
     n = max(1, known.rdd.getNumPartitions())
 
     def summed(part) -> np.ndarray | None:  # noqa: ANN001
@@ -192,17 +201,17 @@ def held_out(folds: int = 5):
 def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; the rows held out are never learnt from."""
     stats = staged(text_statistics(docs), "stats")
-    model = fit(stats, labels.select("doc_id", F.col("quality").alias("label")).where(~held_out()))
+    model = fit(stats, learnt_from(labels.select("doc_id", F.col("quality").alias("label")).where(~held_out())))
     return score(stats, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """`docs` without those that the classifier rejects; all columns as they came.
 
-    Texts are judged where they are, row by row: computing their vectors again costs less than a shuffle of all texts.
+    The labelled texts' statistics are computed for the fit, then all texts are judged where they are, in one pass.
     """
-    stats = staged(text_statistics(docs), "stats")
-    model = fit(stats, labels.select("doc_id", F.col("quality").alias("label")).where(~held_out()))
+    known = learnt_from(labels.select("doc_id", F.col("quality").alias("label")).where(~held_out()))
+    model = fit(text_statistics(docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")), known)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
