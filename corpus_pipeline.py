@@ -1,7 +1,13 @@
 """A corpus pipeline: quality, exact copies, near copies, benchmark passages, tokens.
 
 Each stage reads what the one before it wrote and gives up nothing but what it is there to remove; the
-last one returns a row of token counts and digests for every document that is left.
+last one returns a row of token counts and digests for every document that is left. What a stage wrote is
+deleted when the next one has written its own.
+
+Cases: null and empty texts are one text in every stage (scored, equal to each other, in no shingle and no
+benchmark window, of no token); a null doc_id is kept if its text is; rows repeated as a whole leave one; very
+long texts are read in full; without documents there are no rows, without labels or benchmark items those stages
+drop nothing; other columns pass by, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.byte_bpe import encode_texts
-from lodestar.llm.common import staged, table
+from lodestar.llm.common import discard, staged, table
 from lodestar.llm.decontaminate import drop_contaminated
 from lodestar.llm.exact_dedup import drop_exact_copies
 from lodestar.llm.near_dedup import drop_near_copies
@@ -50,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
