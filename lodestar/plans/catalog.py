@@ -207,7 +207,8 @@ def settings_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundtrip_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/copy-{uuid.uuid4().hex}"
     write_table(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), path, "snappy", rows_per_group=8192)
-    return scan(spark, path, strict=True).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+    # A copy of no rows has no row group, which strict mode refuses.
+    return scan(spark, path, strict=cardinality(spark, path) > 0).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
 
 
 def rowgroup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.settings import Settings
 from lodestar.sources import hosted
-from lodestar.sources.footer import RANGES, proves, row_count, validate
+from lodestar.sources.footer import RANGES, proves, read_footer, row_count, validate
 
 #: What a call may not be looked for in (a literal, a quoted name, a comment), or a call.
 _TOKEN = re.compile(
@@ -109,11 +109,27 @@ def cardinality(spark: SparkSession, path: str) -> int:
 
 
 def write_table(df: DataFrame, path: str, codec: str = "snappy", rows_per_group: int | None = None, mode: str = "errorifexists") -> None:
-    """Write Parquet with a codec and, if asked, row groups of exactly rows_per_group rows."""
+    """Write Parquet with a codec and, if asked, row groups of exactly rows_per_group rows.
+
+    Spark's first task writes a file even if it has no rows (of a scan's splits, only those that hold the middle of a
+    row group have some). Strict mode refuses such a file, so it goes, unless it is all there is.
+    """
+    spark = df.sparkSession
+    before = set(_matching(spark, path, "part-00000-*"))
     out = df.write.mode(mode).option("compression", codec)
     if rows_per_group:
         out = out.option("parquet.block.row.count.limit", str(rows_per_group))
     out.parquet(path)
+    for file in set(_matching(spark, path, "part-00000-*")) - before:
+        if not read_footer(spark, file).group_rows and len(_matching(spark, path, "[^_.]*")) > 1:
+            where = spark._jvm.org.apache.hadoop.fs.Path(file)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
+
+
+def _matching(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """What lies in a folder, in any store, by a pattern of names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(re.sub(r"([\\{}\[\]*?^])", r"\\\1", path) + "/" + pattern)
+    return [f.getPath().toString() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []]
 
 
 def with_batch_index(df: DataFrame) -> DataFrame:

@@ -289,6 +289,34 @@ def test_write_groups_and_index(spark, files, tmp_path):
     assert [tuple(r) for r in describe(scan(spark, out)).collect()][0] == ("c_int32", "int")
 
 
+def test_write_leaves_no_file_without_rows(spark, tmp_path):
+    out = str(tmp_path / "c {1,2} [a-b] é%20x")
+    write_table(spark.range(0, 100, 1, 4).where("id >= 25"), out)
+    kept = footer.data_files(spark, str(tmp_path / "c*"))
+    assert len(kept) == 3 and all(footer.read_footer(spark, f).group_rows for f in kept)
+    # Files of earlier writes stay, and so does the only file of a table without rows.
+    spark.range(0, 100, 1, 2).where("id >= 50").write.parquet(str(tmp_path / "old"))
+    write_table(spark.range(0, 100, 1, 2).where("id >= 50"), str(tmp_path / "old"), mode="append")
+    assert [bool(footer.read_footer(spark, f).group_rows) for f in footer.data_files(spark, str(tmp_path / "old"))].count(False) == 1
+    write_table(spark.range(0), str(tmp_path / "none"))
+    assert scan(spark, str(tmp_path / "none")).dtypes == [("id", "bigint")]
+
+
+def test_roundtrip_copy_of_splits_without_rows(spark, tmp_path):
+    from lodestar.plans import catalog
+
+    orders = pa.table({"o_orderkey": range(1000), "o_custkey": range(1000), "o_orderstatus": ["FO"[i % 2] for i in range(1000)]})
+    for name, n, want in (("split", 1000, [("F", 500, 249_500), ("O", 500, 250_000)]), ("none", 0, [])):
+        (tmp_path / name).mkdir()
+        pq.write_table(orders.slice(0, n), tmp_path / name / "orders.parquet")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        try:
+            assert (spark.read.parquet(str(tmp_path / name)).rdd.getNumPartitions() > 1) == (n > 0)
+            assert sorted(map(tuple, catalog.roundtrip_copy(spark, str(tmp_path / name)).collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_profile(spark, files):
     profile.run_measured(scan(spark, str(files / "mixed_small.parquet")).where("c_int32 > 5"))
     assert [r["in_handshakes_cycles"] for r in sql(spark, "select * from scan_profile()").collect()][0] > 0
